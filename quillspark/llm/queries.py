@@ -37,8 +37,61 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(_documents(spark, sf_dir), reach=200)).withColumnRenamed("id", "doc_id")
+
+
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotrain import classify, train
+
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(docs, train(docs, labels)).withColumnRenamed("id", "doc_id")
+
+
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .editcount import count_edited
+
+    counted = count_edited(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.withColumnRenamed("id", "doc_id")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op7_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import read_back, store
+
+    return read_back(store(_documents(spark, sf_dir), unit=576)).withColumnRenamed("id", "doc_id")
+
+
+def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .fertility import judge
+
+    judged = judge(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(F.col("id").alias("doc_id"), *first, "lang", "n_tokens", "chars_per_token", "byte_share", "entropy", "failed_band")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op9_byte_bpe": op9_byte_bpe}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_cotraining": op2_cotraining,
+        "op3_edit_counts": op3_edit_counts,
+        "op4_packing": op4_packing,
+        "op5_license_scan": op5_license_scan,
+        "op7_media_sniffing": op7_media_sniffing,
+        "op9_byte_bpe": op9_byte_bpe,
+        "op10_fertility": op10_fertility,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
