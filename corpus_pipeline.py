@@ -1,14 +1,85 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five training-data operators one after another.
+
+Rejected documents go, one document of each near-duplicate class stays, repeated passages are
+cut out, secrets are masked, and what is left is packed into training windows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import cotrain, jaccard, packing, secrets, substrings
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the co-trained classifier rejects."""
+    model = cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotrain.keep_good(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of the Jaccard join."""
+    return jaccard.keep_one(docs, k=5, threshold=0.8)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out the words of repeated windows; a text without one stays as it is.
+
+    A document of which no word is left goes.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    found = substrings.strip_repeats(docs, window=35, carry=[*others, "text"])
+    found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    cut = F.col("n_removed") > 0
+    new = {c: F.col(f"carry{i}") for i, c in enumerate([*others, "text"])}
+    new["text"] = F.when(cut, F.col("kept")).otherwise(new["text"])
+    if "n_chars" in new:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(cut, F.char_length("kept").cast(kind)).otherwise(new["n_chars"])
+    return found.select(*[new[c].alias(c) for c in docs.columns])
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask every secret found."""
+    others = [c for c in docs.columns if c != "text"]
+    found = secrets.scan(docs, reach=200, carry=[*others, "text"])
+    new = {c: F.col(f"carry{i}") for i, c in enumerate([*others, "text"])}
+    some = F.size("spans") > 0
+    text = secrets.masked(new["text"], F.col("spans"))
+    if "n_chars" in new:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(some, F.char_length(text).cast(kind)).otherwise(new["n_chars"])
+    new["text"] = text
+    return found.select(*[new[c].alias(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed training windows."""
+    import public_tokenizers
+
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, separator=1)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("secret scans", secret_spans),
+    ("packing", packed),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+#: Classifier, suffix trees and tokenizer are beyond SQL; tests compare with plain versions.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

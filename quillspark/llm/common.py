@@ -49,7 +49,7 @@ def text_key(text_col: Column) -> tuple[Column, Column]:
     return F.xxhash64(text_col), F.xxhash64(F.lit("~"), text_col, F.lit("#"))
 
 
-def map_arrow(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
+def map_arrow(df: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` whose state is made by ``start()`` once per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

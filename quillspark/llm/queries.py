@@ -23,6 +23,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join
+
+    return join(_documents(spark, sf_dir), k=5, threshold=0.8).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +71,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import strip_repeats
+
+    found = strip_repeats(_documents(spark, sf_dir), window=35)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import read_back, store
 
@@ -88,7 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_edit_counts": op3_edit_counts,
         "op4_packing": op4_packing,
         "op5_license_scan": op5_license_scan,
+        "op6_substrings": op6_substrings,
         "op7_media_sniffing": op7_media_sniffing,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_fertility": op10_fertility,
     }

@@ -92,15 +92,19 @@ def linked_parts(parts: DataFrame, reach: int) -> DataFrame:
     return seen.where(sound)
 
 
-def scan(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``base`` and ``spans`` (arrays of start, rank, kind, end by start) of every document."""
-    rows = pick(df, id=id_col, text=text_col).withColumn("text", whole_text(F.col("text")))
+def scan(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``id``, ``base`` and ``spans`` (arrays of start, rank, kind, end by start) of every document.
+
+    Columns named in ``carry`` go along as ``carry0`` and so on.
+    """
+    named = {f"carry{i}": c for i, c in enumerate(carry or [])}
+    rows = pick(df, id=id_col, text=text_col, **named).withColumn("text", whole_text(F.col("text")))
     k1, k2 = row_key(F.col("id"), F.col("text"))
     text = F.col("text")
     base = F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 12), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
     weak = F.concat(*[_spans(text, p, kind) for kind, p in WEAK.items()])
     breaks = F.transform(_spans(text, SCOPE_BREAK, "break"), lambda b: b["end"])
-    scanned = rows.select("id", k1.alias("k1"), k2.alias("k2"), base.alias("base"), weak.alias("weak"), breaks.alias("breaks"))
+    scanned = rows.select("id", k1.alias("k1"), k2.alias("k2"), base.alias("base"), weak.alias("weak"), breaks.alias("breaks"), *named)
     some = F.size("weak") > 0
     parts = (
         scanned.where(some)
@@ -111,10 +115,25 @@ def scan(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str
     linked = linked_parts(parts, reach).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "rank", "kind", "end")).alias("linked"))
     # Rows without a weak part meet nothing: the join key of such a row is its own, so no group is hot.
     joined = scanned.drop("breaks", "weak").join(linked, ["k1", "k2"], "left")
-    return joined.select("id", "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("spans"))
+    return joined.select("id", *named, "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
     """``id``, the counts by strong kind, the base spans' digest and all spans as a string."""
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scanned.select("id", of("assign"), of("access"), of("hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
+def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with every span (by start; they may overlap) replaced by ``mark``."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+
+    def add(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(fresh, F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["done"]).alias("done"),
+        )
+
+    whole = F.aggregate(spans, first, add, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
