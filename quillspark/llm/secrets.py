@@ -29,7 +29,7 @@ from .common import pick, row_key, whole_text
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Parts of a credential that are weak alone.
+#: Parts of a credential that are weak alone. ``\\b`` means ASCII word characters here, see ``_java``.
 WEAK = {
     "weak_id": r"""(?i)\b(?:user(?:name|_?id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""",
     "weak_value": r"""(?i)\b(?:pass|pwd|pw|key|credential|auth|private_?key|client_?secret)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""",
@@ -65,6 +65,12 @@ def _spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
     return F.when(F.size(whole) == 0, none).otherwise(F.aggregate(steps, first, add, lambda acc: acc["found"]))
 
 
+def _java(pattern: str) -> str:
+    """Word boundaries by ASCII, which Java's own are not in every version."""
+    head, *rest = pattern.split(r"\b")
+    return head + "(?<![A-Za-z0-9_])" + "(?![A-Za-z0-9_])".join(rest)
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -102,7 +108,7 @@ def scan(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str
     k1, k2 = row_key(F.col("id"), F.col("text"))
     text = F.col("text")
     base = F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 12), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
-    weak = F.concat(*[_spans(text, p, kind) for kind, p in WEAK.items()])
+    weak = F.concat(*[_spans(text, _java(p), kind) for kind, p in WEAK.items()])
     breaks = F.transform(_spans(text, SCOPE_BREAK, "break"), lambda b: b["end"])
     scanned = rows.select("id", k1.alias("k1"), k2.alias("k2"), base.alias("base"), weak.alias("weak"), breaks.alias("breaks"), *named)
     some = F.size("weak") > 0
