@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.functions import vectors as vx
-from quillspark.operators import chunking, dialogue, quality_of_search as quality, relational, routing, search
+from quillspark.operators import chunking, dialogue, quality_of_search as quality, relational, routing, search, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -699,6 +699,84 @@ def context_assembly(spark, sf_dir):
     return top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines")).select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"))
 
 
+# --- tables, figures, positions ---------------------------------------------------------------------
+
+
+@query("positional_join", """WITH e AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings), d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)
+SELECT idx, doc_id, source, vec_id, label FROM d JOIN e USING (idx)""")
+def positional_join(spark, sf_dir):
+    """The n-th chunk belongs to the n-th vector."""
+    d = relational.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"])
+    e = relational.numbered(table(spark, sf_dir, "embeddings").select("vec_id", "label"), ["vec_id"])
+    return d.join(e, "idx").select("idx", "doc_id", "source", "vec_id", "label")
+
+
+@query("source_lists", "SELECT source, array_to_string(list(doc_id ORDER BY doc_id), ',') AS ids FROM documents GROUP BY source")
+def source_lists(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",").alias("ids"))
+
+
+_GRID = "list(CASE WHEN l_linenumber = 1 THEN ['Method', l_returnflag, ''] ELSE [l_returnflag, l_linenumber::VARCHAR, ''] END ORDER BY l_linenumber, l_returnflag)"
+
+
+@query("table_grid_score", f"""WITH g AS (SELECT l_orderkey, {_GRID} AS grid FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey,
+  (len(grid) * 3 * 2 + len(list_filter(flatten(grid), lambda c: c <> '')) + CASE WHEN list_contains(grid[1], 'Method') THEN 80 ELSE 0 END + 3 * len(list_filter(flatten(grid), lambda c: regexp_matches(c, '^[0-9]+$'))))::BIGINT AS score FROM g""")
+def table_grid_score(spark, sf_dir):
+    return _grids(spark, sf_dir).select("l_orderkey", tables.grid_score(F.col("grid")).alias("score"))
+
+
+@query("table_html", f"""WITH g AS (SELECT l_orderkey, {_GRID} AS grid FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, '<table><tr>' || array_to_string(list_transform(grid[1][1:2], lambda c: '<th>' || c || '</th>'), '') || '</tr>' ||
+  array_to_string(list_transform(grid[2:], lambda r: '<tr><td>' || r[1] || '</td><td>' || r[2] || '</td></tr>'), '') || '</table>' AS html FROM g""")
+def table_html(spark, sf_dir):
+    return _grids(spark, sf_dir).select("l_orderkey", tables.grid_html(F.col("grid")).alias("html"))
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.when(F.col("l_linenumber") == 1, F.array(F.lit("Method"), F.col("l_returnflag"), F.lit(""))).otherwise(F.array(F.col("l_returnflag"), F.col("l_linenumber").cast("string"), F.lit("")))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))).alias("rows"))
+    return lines.select("l_orderkey", F.transform("rows", lambda x: x["r"]).alias("grid"))
+
+
+_BOXES = "SELECT l_orderkey AS page, l_linenumber::BIGINT AS id, l_extendedprice AS score, l_quantity AS x0, l_quantity / 2 AS y0, l_quantity + 30.0 AS x1, l_quantity / 2 + 40.0 AS y1 FROM lineitem"
+
+
+@query("box_overlap", f"""WITH b AS ({_BOXES}), p AS (SELECT a.page, a.id AS a, b.id AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i FROM b a JOIN b ON a.page = b.page AND a.id < b.id)
+SELECT page, a, b, round(i / (2400.0 - i), 4) AS iou FROM p""")
+def box_overlap(spark, sf_dir):
+    """Pairs of a page's boxes; a page has at most seven."""
+    boxes = _boxes(spark, sf_dir)
+    other = boxes.select("page", F.col("id").alias("b"), F.col("box").alias("box_b"))
+    pairs = boxes.join(other, "page").where("id < b")
+    return pairs.select("page", F.col("id").alias("a"), "b", F.round(tables.overlap(F.col("box"), F.col("box_b")), 4).alias("iou"))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    box = F.struct(q.alias("x0"), (q / 2).alias("y0"), (q + 30.0).alias("x1"), (q / 2 + 40.0).alias("y1"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_extendedprice").alias("score"), box.alias("box"))
+
+
+@query("best_boxes")
+def best_boxes(spark, sf_dir):
+    return tables.best_boxes(_boxes(spark, sf_dir), ["page"])
+
+
+@query("figure_crop", f"""WITH b AS ({_BOXES}) SELECT page, id, greatest(0, x0 - 20)::DOUBLE AS x0, (CASE WHEN id % 2 = 0 THEN y1 ELSE greatest(0, y0 - 60) END)::DOUBLE AS y0, least(90, x1 + 20)::DOUBLE AS x1, (CASE WHEN id % 2 = 0 THEN least(100, y0 + 60) ELSE least(100, y1 + 20) END)::DOUBLE AS y1 FROM b""")
+def figure_crop(spark, sf_dir):
+    kind = F.when(F.col("id") % 2 == 0, "table").otherwise("figure")
+    return _boxes(spark, sf_dir).select("page", "id", tables.crop(kind, F.col("box"), F.lit(100.0), F.lit(90.0)).alias("c")).select("page", "id", "c.x0", "c.y0", "c.x1", "c.y1")
+
+
+@query("reference_split", """SELECT l_orderkey, generate_subscripts(r, 1) - 1 AS ordinal, unnest(r) AS item FROM (SELECT l_orderkey, list_filter(list_transform(string_split_regex(t, '\\[[0-9]+\\]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) > 20) AS r
+  FROM (SELECT l_orderkey, string_agg('[' || l_linenumber || '] Author ' || l_partkey || ', a title of ' || l_shipdate::DATE::VARCHAR || '  ' || l_returnflag, ' ' ORDER BY l_linenumber, '[' || l_linenumber || '] Author ' || l_partkey || ', a title of ' || l_shipdate::DATE::VARCHAR || '  ' || l_returnflag) AS t FROM lineitem GROUP BY l_orderkey))""")
+def reference_split(spark, sf_dir):
+    item = F.concat(F.lit("["), F.col("l_linenumber").cast("string"), F.lit("] Author "), F.col("l_partkey").cast("string"), F.lit(", a title of "), F.col("l_shipdate").cast("date").cast("string"), F.lit("  "), F.col("l_returnflag"))
+    texts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("t")))).alias("rows"))
+    text = F.concat(F.lit("body\nReferences\n"), F.array_join(F.transform("rows", lambda x: x["t"]), " "))
+    items = texts.select("l_orderkey", F.posexplode(tables.reference_items(text)).alias("n", "item"))
+    return items.select("l_orderkey", F.col("n").cast("long").alias("ordinal"), "item")
+
+
 # --- extensions: batch twins of the streams -----------------------------------------------------------
 
 
