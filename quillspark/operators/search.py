@@ -108,7 +108,7 @@ def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int):
             if not batch.num_rows:
                 continue
             chunk = batch.column(0).to_numpy(zero_copy_only=False)
-            own = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chunk), -1)
             scores = matrix @ own.T
             q = np.repeat(np.arange(len(ids)), len(chunk))
             now = (q, np.tile(chunk, len(ids)), scores.ravel())
