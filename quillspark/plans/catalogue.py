@@ -218,10 +218,22 @@ def extract_refs(spark, sf_dir):
     return _asked(spark, sf_dir).select("query_id", *[c.alias(n) for n, c in routing.references(F.col("text")).items()])
 
 
-_SOURCES = "SELECT DISTINCT replace(p_type, ' ', '_') || '_' || p_size || '.pdf' AS source FROM part"
-
-
-@query("filename_router")
+_STOPS = ", ".join(f"'{w}'" for w in routing.STOP_WORDS)
+_GOOD = f"length(x) >= 2 AND NOT list_contains([{_STOPS}], x)"
+
+
+@query("filename_router", f"""WITH f AS (SELECT stem || '.pdf' AS source, lower(replace(stem, '_', ' ')) AS norm, string_split(lower(stem), '_') AS p FROM (SELECT DISTINCT replace(p_type, ' ', '_') || '_' || p_size AS stem FROM part)),
+ft AS (SELECT source, norm, list_distinct(list_filter(p, lambda x: length(x) >= 2 OR regexp_full_match(x, '[0-9]+')) || list_transform(list_filter(range(1, len(p)), lambda i: length(p[i]) >= 2), lambda i: p[i] || '_' || p[i + 1])) AS tokens FROM f),
+q AS (SELECT p_partkey AS query_id, string_split(lower('what about ' || p_type || ' ' || p_size), ' ') AS p FROM part),
+near AS (SELECT query_id, p, list_filter(range(1, len(p)), lambda i: len(list_filter([p[i]], lambda x: {_GOOD})) > 0) AS places FROM q),
+qt AS (SELECT query_id, unnest(list_distinct(list_filter(p, lambda x: {_GOOD}) || list_transform(places, lambda i: p[i] || '_' || p[i + 1]) || list_transform(list_filter(places, lambda i: regexp_full_match(p[i + 1], '[0-9]+')), lambda i: p[i] || p[i + 1]))) AS token FROM near),
+own AS (SELECT source, unnest(tokens) AS token FROM ft), df AS (SELECT token, count(*) AS df FROM own GROUP BY token),
+words AS (SELECT DISTINCT token, 1 + ln(((SELECT count(*) FROM ft) + 1) / (coalesce(df, 0) + 1)::DOUBLE) AS idf FROM qt LEFT JOIN df USING (token)),
+hit AS (SELECT token, source, max(part) AS part FROM (SELECT token, source, 2.0 * idf AS part FROM words JOIN own USING (token) UNION ALL
+  SELECT token, source, 1.2 * idf FROM words, ft WHERE length(token) >= 3 AND (contains(norm, token) OR contains(replace(norm, ' ', ''), token))) GROUP BY ALL),
+scored AS (SELECT query_id, source, round(sum(part) * CASE WHEN count(*) >= 2 THEN 1.15 ELSE 1 END, 6) AS score FROM qt JOIN hit USING (token) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(score) OVER w, 0) AS second FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, source))
+SELECT query_id, source, round(score, 4) AS score FROM r WHERE rn = 1 AND score >= 2.8 AND NOT (second > 0 AND score - second < 1.2 AND second >= 0.8 * 2.8)""")
 def filename_router(spark, sf_dir):
     """Files named by part types and sizes; questions are the same words in prose."""
     part = table(spark, sf_dir, "part")
