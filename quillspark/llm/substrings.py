@@ -3,7 +3,8 @@
 A window is ``window`` consecutive words of one document. A word goes when some window over it
 starts elsewhere too, in any document. The suffixes that matter are found and grouped so:
 
-1. Sampling. Every window has ``window - gram + 1`` grams; the grams with the least hash are its
+1. Sampling. Windows that repeat within one document are found there, and the first of them stands
+   for all. Every window has ``window - gram + 1`` grams; the grams with the least hash are its
    anchors. Equal windows have equal anchors at equal places, so it suffices to compare
    suffixes that start at anchors (about a fourteenth of all positions).
 2. Prefixes. Suffixes are split by their prefix, the anchor gram. A prefix that occurs once
@@ -68,12 +69,34 @@ def _slide(values: np.ndarray, size: int, combine: np.ufunc) -> np.ndarray:
     return combine(values[: len(values) - (size - span)], values[size - span :]) if size > span else values
 
 
+def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
+    """A hash of the ``window`` words from each place on, from hashes of half as many, and so on."""
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = (a ^ (a >> np.uint64(32))) * _MIX + b
+        return x ^ (x >> np.uint64(29))
+
+    return _slide(words, window, pair)
+
+
+def _again(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the places whose hash stands earlier too, and of those whose hash stands twice or more."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    later, twice = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=bool)
+    later[order[1:][same]] = True
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return later, twice
+
+
 def anchors(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors in several documents' words one after another.
 
     ``ends`` has the end of its document for each word. A place is an anchor if its gram has
     the least hash of some window; all places with that hash count, so the choice depends on
-    the window's words alone.
+    the window's words alone. Of equal windows of one document the first alone counts: the others
+    are known to repeat without any other document.
     """
     width = window - gram + 1
     if len(words) < window:
@@ -81,6 +104,8 @@ def anchors(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tupl
     grams = gram_hashes(words, gram)
     least = _slide(grams, width, np.minimum)  # of the window that starts here
     least[np.arange(len(least)) + window > ends[: len(least)]] = 0  # no window of one document
+    own = (ends[: len(least)].astype(np.uint64) * _MIX) ^ window_hashes(words, window)
+    least[_again(own)[0]] = 0
     pad = np.zeros(width - 1, dtype=np.uint64)
     cover = _slide(np.concatenate([pad, least, pad]), width, np.maximum)
     at = np.flatnonzero((cover == grams) & (cover != 0))
@@ -284,6 +309,10 @@ def _strip(joined: DataFrame, carry: list, window: int, gram: int) -> DataFrame:
             for i, text in enumerate(texts):
                 words = text.split()
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
+                if len(words) > window:
+                    at = np.flatnonzero(_again(window_hashes(word_hashes(words), window))[1])
+                    edge[at] += 1
+                    edge[at + window] -= 1
                 if bits[i].is_valid:
                     pos, mask = (bits[i].values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
                     for o in range(window - gram + 1):
