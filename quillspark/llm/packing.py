@@ -65,10 +65,13 @@ class WordTokens(dict):
         self.piece = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
         table = self.ids
-        found = np.array([table[i] for p in self.split(text) for i in self.piece(p.encode() + b"\xff")], dtype="<u4").tobytes()
+        if word.isalpha():  # of bytes: ASCII letters only, so one pre-token
+            found = np.array([table[i] for i in self.piece(word.lower() + b"\xff")], dtype="<u4").tobytes()
+        else:
+            text = word.decode("utf-8", "replace")
+            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+            found = np.array([table[i] for p in self.split(text) for i in self.piece(p.encode() + b"\xff")], dtype="<u4").tobytes()
         if len(self) >= self.limit:
             self.clear()
         if len(word) <= 64:
@@ -80,6 +83,16 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_LOADED: dict[str, WordTokens] = {}
+
+
+def _loaded(path: str) -> WordTokens:
+    """One table per worker process, kept between tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokens(path)
+    return _LOADED[path]
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the rest from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -136,7 +149,7 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, separator: int
     end = np.asarray([separator], dtype="<u4").tobytes()
 
     def run(batches):
-        tokens, packer = WordTokens(tokenizer_path), SumOfSquares(window)
+        tokens, packer = _loaded(tokenizer_path), SumOfSquares(window)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         out: list[tuple] = []
