@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, column, map_arrow, pick, whole_text
+from .common import BoundedCache, column, map_arrow, pick, portions, whole_text
 
 #: White space as the pre-token pattern's \\s has it (Unicode White_Space).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -157,10 +157,10 @@ def encode_table(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         bpe = loaded(ranks_path, pattern)
 
         def step(batch: pa.RecordBatch):
-            ids_of, texts = column(batch, "id"), column(batch, "text")
-            for lo in range(0, batch.num_rows, 512):
-                ids = [bpe.encode(t) for t in texts.slice(lo, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids_of.slice(lo, 512), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
+            ids_of, texts = column(batch, "id"), column(batch, "text").to_pylist()
+            for lo, hi in portions(texts, 512):
+                ids = [bpe.encode(t) for t in texts[lo:hi]]
+                yield pa.RecordBatch.from_arrays([ids_of.slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
 
         return step
 

@@ -67,6 +67,18 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
 
 
+def portions(texts: list, rows: int, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Slices of at most ``rows`` texts and about ``size`` bytes: memory holds one slice's working data, or one long text's."""
+    lo = total = 0
+    for i, t in enumerate(texts):
+        if i > lo and (i - lo >= rows or total + len(t) > size):
+            yield lo, i
+            lo, total = i, 0
+        total += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, map_arrow, pick, whole_text, written
+from .common import as_bytes, column, map_arrow, pick, portions, whole_text, written
 
 _LOADED: dict[str, "PieceTable"] = {}
 MEASURES = {"chars_per_token": 0.5, "byte_share": 0.05, "entropy": 0.08}  # measure -> least half-width of its band
@@ -103,8 +103,8 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 
         def step(batch: pa.RecordBatch):
             texts = as_bytes(batch, "text")
-            for lo in range(0, len(texts), 256):
-                part = texts[lo : lo + 256]
+            for lo, hi in portions(texts, 256):
+                part = texts[lo:hi]
                 if len(table) >= table.limit:
                     table.reset()
                 words = [np.fromiter(map(table.__getitem__, t.split()), dtype=np.int64) for t in part]
@@ -127,7 +127,7 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
                     for col, value in zip(out, row):
                         col.append(value)
                 kinds = [pa.int64()] * 6 + [pa.float64()] * 3
-                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, 256), column(batch, "lang").slice(lo, 256), *(pa.array(c, k) for c, k in zip(out, kinds))], names=names)
+                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, hi - lo), column(batch, "lang").slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(out, kinds))], names=names)
 
         return step
 

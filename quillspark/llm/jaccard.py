@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, map_arrow, pick, text_key, whole_text, written
+from .common import as_bytes, column, map_arrow, pick, portions, text_key, whole_text, written
 from .components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -192,8 +192,8 @@ def _signatures(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFram
 
         def step(batch: pa.RecordBatch):
             texts = as_bytes(batch, "text")
-            for lo in range(0, len(texts), 128):
-                sets = [shingle_set(t, k) for t in texts[lo : lo + 128]]
+            for lo, hi in portions(texts, 128):
+                sets = [shingle_set(t, k) for t in texts[lo:hi]]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [[] for _ in sets]
                 sigs: list = [b"" for _ in sets]
@@ -201,7 +201,7 @@ def _signatures(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFram
                     found, short = family([sets[i] for i in some])
                     for i, row, sig in zip(some, found.view(np.int64), short):
                         keys[i], sigs[i] = row, sig.tobytes()
-                part = [column(batch, c).slice(lo, 128) for c in ("id", "t1", "t2")]
+                part = [column(batch, c).slice(lo, hi - lo) for c in ("id", "t1", "t2")]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "t1", "t2", "n", "bands", "sig"])
 
         return step
@@ -264,9 +264,9 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     def start():
         def step(batch: pa.RecordBatch):
             texts = as_bytes(batch, "text")
-            for lo in range(0, len(texts), 512):
-                found = pa.array([shingle_set(t, k).tobytes() for t in texts[lo : lo + 512]], pa.binary())
-                yield pa.RecordBatch.from_arrays([column(batch, "tid").slice(lo, 512), column(batch, "root").slice(lo, 512), column(batch, "n_blocks").slice(lo, 512), found], names=["tid", "root", "n_blocks", "shingles"])
+            for lo, hi in portions(texts, 512):
+                found = pa.array([shingle_set(t, k).tobytes() for t in texts[lo:hi]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(lo, hi - lo) for c in ("tid", "root", "n_blocks")), found], names=["tid", "root", "n_blocks", "shingles"])
 
         return step
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, map_arrow, pick, whole_text
+from .common import as_bytes, column, map_arrow, pick, portions, whole_text
 
 
 def _png_end(data: bytes, at: int) -> int | None:
@@ -240,14 +240,14 @@ def store(df: DataFrame, unit: int = 576, width: int = 24, id_col: str = "doc_id
     def start():
         def step(batch: pa.RecordBatch):
             texts = as_bytes(batch, "text")
-            for lo in range(0, len(texts), 512):
-                part = texts[lo : lo + 512]
+            for lo, hi in portions(texts, 512):
+                part = texts[lo:hi]
                 media = []
                 for t in part:
                     units = max(1, -(-len(t) // unit))
                     payload = t + b"\xff" * (units * unit - len(t))
                     media.append(wav_of(payload) if units % 2 else png_of(payload, width))
-                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, 512), pa.array(map(len, part), pa.int64()), pa.array(media, pa.binary()), pa.array(["application/octet-stream"] * len(part))], names=["id", "n_bytes", "media", "declared"])
+                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, hi - lo), pa.array(map(len, part), pa.int64()), pa.array(media, pa.binary()), pa.array(["application/octet-stream"] * len(part))], names=["id", "n_bytes", "media", "declared"])
 
         return step
 

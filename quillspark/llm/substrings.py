@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import as_bytes, column, map_arrow, pick, row_key, whole_text, written
+from .common import as_bytes, column, map_arrow, pick, portions, row_key, whole_text, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
 
@@ -134,8 +134,8 @@ def sampled_suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
         def step(batch: pa.RecordBatch):
             texts = as_bytes(batch, "text")
             k1, k2 = (column(batch, c).to_numpy() for c in ("k1", "k2"))
-            for lo in range(0, len(texts), 256):
-                words, text_of, first, ends = _joined(texts[lo : lo + 256])
+            for lo, hi in portions(texts, 256):
+                words, text_of, first, ends = _joined(texts[lo:hi])
                 at, h = anchors(words, ends, window, gram)
                 owners = lo + text_of[at]
                 yield pa.RecordBatch.from_arrays([pa.array(k1[owners]), pa.array(k2[owners]), pa.array((at - first[at]).astype(np.int32)), pa.array(h.view(np.int64))], names=["k1", "k2", "pos", "h"])
