@@ -56,8 +56,11 @@ def rerank_pool(candidates: DataFrame, order: DataFrame, pool: int = 15) -> Data
 
 
 def blend(judged: str, score: str, share: float = 0.7):
-    """Pointwise rerank: ``share`` of the judge's value (0.5 if it gave none)."""
-    return F.round(share * F.coalesce(judged, F.lit(0.5)) + (1 - share) * F.coalesce(score, F.lit(0.0)), 4)
+    """Pointwise rerank: ``share`` of the judge's value (0.5 if it gave none).
+
+    The 1e-9 rounds up halves that the sum's last bits put just below.
+    """
+    return F.round(share * F.coalesce(judged, F.lit(0.5)) + (1 - share) * F.coalesce(score, F.lit(0.0)) + 1e-9, 4)
 
 
 def listwise_rerank(candidates: DataFrame, ranker, pool: int = 15) -> DataFrame:

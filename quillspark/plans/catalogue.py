@@ -687,7 +687,7 @@ def rank_pool15(spark, sf_dir):
     return quality.rerank_pool(ranked.select("query_id", "chunk_id", "score"), order).select("query_id", "chunk_id", "final_rank")
 
 
-# Values have six decimals at most; the 1e-9 makes DuckDB round halves up, as Spark does.
+# Values have six decimals at most; with 1e-9 both engines round halves up.
 @query("pointwise_blend", "SELECT doc_id, round(0.7 * coalesce(quality::DOUBLE, 0.5) + 0.3 * coalesce(n_chars / 100000.0, 0) + 1e-9, 4) AS blended FROM documents LEFT JOIN labels USING (doc_id)")
 def pointwise_blend(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
