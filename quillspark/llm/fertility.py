@@ -4,7 +4,8 @@ A public vocabulary with byte fallback is run over every word. Per document that
 characters per token, the share of byte-fallback tokens and the entropy of its tokens
 (relative to the greatest for that many tokens). Each language has a rejection band for each
 measure: the quartiles of all its documents that pass the base rules, widened by ``fence``
-interquartile ranges and by a least width. Bands come from all rows, by a partial aggregate.
+interquartile ranges (two thirds of them for the entropy, whose end would else pass its bound of 1). Only where
+the quartiles are equal a fixed width is taken. Bands come from all rows, by a partial aggregate.
 
 Defined cases: null text has no word and fails the base rules; a null or odd language code
 counts as ``und``; a language with under ``least_docs`` measured documents takes the band of
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, column, map_arrow, pick, portions, whole_text, written
 
 _LOADED: dict[str, "PieceTable"] = {}
-MEASURES = {"chars_per_token": 0.5, "byte_share": 0.05, "entropy": 0.08}  # measure -> least half-width of its band
+#: measure -> its part of ``fence``, and the width of its band where the quartiles are equal.
+MEASURES = {"chars_per_token": (1.0, 0.5), "byte_share": (1.0, 0.05), "entropy": (2 / 3, 0.08)}
 
 
 class PieceTable(dict):
@@ -137,9 +139,9 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 def bands(measured: DataFrame, fence: float, least_docs: int) -> DataFrame:
     """``band_lang`` (null: all rows), ``band_docs`` and a low and high end for each measure."""
     aggs = [F.count("*").alias("band_docs")]
-    for name, least in MEASURES.items():
+    for name, (part, flat) in MEASURES.items():
         q = F.percentile_approx(name, [0.25, 0.75], 10_000)
-        spread = fence * (q[1] - q[0]) + F.lit(least)
+        spread = F.when(q[1] > q[0], part * fence * (q[1] - q[0])).otherwise(flat)
         aggs += [(q[0] - spread).alias(f"{name}_lo"), (q[1] + spread).alias(f"{name}_hi")]
     found = measured.where("not base_failed and n_tokens > 0").withColumnRenamed("lang", "band_lang").rollup("band_lang").agg(*aggs)
     return found.where(F.col("band_lang").isNull() | (F.col("band_docs") >= least_docs))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 from quillspark.llm.fertility import judge, measure
 
@@ -62,3 +63,19 @@ def test_bands_reject_outliers_only(spark, none):
 def test_small_languages_take_the_common_band(spark):
     df = frame(spark, [(i, prose(i)) for i in range(20)])
     assert all(r["kept"] for r in judge(df, PATH).collect())
+
+
+def test_bands_reject_junk_and_keep_good_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    judged = judge(docs, PATH).where("not base_failed").join(labels, F.col("id") == F.col("doc_id")).groupBy("quality").agg(F.count("*"), F.count_if("kept"))
+    got = {r[0]: r[1:] for r in judged.collect()}
+    junk, junk_kept, good, good_kept = *got[0], *got[1]
+    assert junk_kept < 0.6 * junk and good_kept > 0.99 * good
+
+
+def test_bands_reject_rows_of_single_words(spark):
+    rnd = random.Random(5)
+    junk = [(1000 + i, " | ".join("".join(rnd.choice("bcdfghjkmpqvwxz") for _ in range(5)) for _ in range(90))) for i in range(5)]
+    got = {r["id"]: r for r in judge(frame(spark, [(i, prose(i)) for i in range(150)] + junk), PATH).collect()}
+    assert all(got[i]["failed_band"] == "chars_per_token" and not got[i]["base_failed"] for i, _ in junk)
+    assert all(got[i]["kept"] for i in range(150))
