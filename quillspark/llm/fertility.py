@@ -6,15 +6,20 @@ characters per token, the share of byte-fallback tokens and the entropy of its t
 measure: the quartiles of all its documents that pass the base rules, widened by ``fence``
 interquartile ranges (two thirds of them for the entropy, whose end would else pass its bound of 1). Only where
 the quartiles are equal a fixed width is taken. Bands come from all rows, by a partial aggregate.
+Every language has its own band at every number of documents: the fixed width is added with the
+weight exp(-documents / ``least_docs``), so nothing switches at a count.
 
-Defined cases: null text has no word and fails the base rules; a null or odd language code
-counts as ``und``; a language with under ``least_docs`` measured documents takes the band of
-all documents; repeated rows count each; an empty table gives no row.
+Defined cases: null text has no word and fails the base rules; subtags of a language code are
+dropped (``pt-BR`` is ``pt``); a document with a null, odd or ``und`` code counts by the script of most
+of its letters (``und-latin``, or ``und`` without a letter); a language without a document that passes
+the base rules has no band; repeated rows count each; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +94,26 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def script(text: bytes, known: dict[str, str]) -> str:
+    """The script of most letters (the first word of their Unicode names; kana count as one), or the empty text."""
+    found: Counter = Counter()
+    for letter, n in Counter(text.decode("utf-8", "replace")).items():
+        name = known.get(letter)
+        if name is None:
+            name = unicodedata.name(letter, "").split(" ")[0].split("-")[0].lower() if letter.isalpha() else ""
+            name = known[letter] = "kana" if name in ("hiragana", "katakana") else name
+        found[name] += n
+    found.pop("", None)
+    return min(found, key=lambda name: (-found[name], name), default="")
+
+
 def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", symbols: bytes = b"#*$%&|<>") -> DataFrame:
     """Base counts and fertility measures of every document."""
     rows = pick(df, id=id_col, text=text_col, **({"lang": lang_col} if lang_col else {}))
     lang = F.lower(F.col("lang").cast("string")) if lang_col else F.lit(None).cast("string")
-    # At most 26**2 + 26**3 + 1 codes, so the table of bands is small whatever the input.
-    rows = rows.select("id", whole_text(F.col("text")).alias("text"), F.when(lang.rlike("^[a-z]{2,3}$"), lang).otherwise("und").alias("lang"))
+    # At most 26**2 + 26**3 codes and Unicode's scripts, so the table of bands is small whatever the input.
+    code = F.regexp_extract(F.trim(lang), "^([a-z]{2,3})([-_].*)?$", 1)
+    rows = rows.select("id", whole_text(F.col("text")).alias("text"), F.when(code != "", code).otherwise("und").alias("lang"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -102,6 +121,7 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
         if model_path not in _LOADED:
             _LOADED[model_path] = PieceTable(model_path)
         table = _LOADED[model_path]
+        scripts: dict[str, str] = {}
 
         def step(batch: pa.RecordBatch):
             texts = as_bytes(batch, "text")
@@ -129,7 +149,9 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
                     for col, value in zip(out, row):
                         col.append(value)
                 kinds = [pa.int64()] * 6 + [pa.float64()] * 3
-                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, hi - lo), column(batch, "lang").slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(out, kinds))], names=names)
+                codes = column(batch, "lang").slice(lo, hi - lo).to_pylist()
+                langs = [f"und-{script(t, scripts)}".rstrip("-") if c == "und" else c for c, t in zip(codes, part)]
+                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, hi - lo), pa.array(langs, pa.string()), *(pa.array(c, k) for c, k in zip(out, kinds))], names=names)
 
         return step
 
@@ -137,14 +159,14 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 
 
 def bands(measured: DataFrame, fence: float, least_docs: int) -> DataFrame:
-    """``band_lang`` (null: all rows), ``band_docs`` and a low and high end for each measure."""
-    aggs = [F.count("*").alias("band_docs")]
+    """``lang`` and a low and high end for each measure."""
+    aggs = []
     for name, (part, flat) in MEASURES.items():
         q = F.percentile_approx(name, [0.25, 0.75], 10_000)
-        spread = F.when(q[1] > q[0], part * fence * (q[1] - q[0])).otherwise(flat)
+        few = F.when(q[1] > q[0], F.exp(-F.count("*") / least_docs)).otherwise(1.0)
+        spread = part * fence * (q[1] - q[0]) + flat * few
         aggs += [(q[0] - spread).alias(f"{name}_lo"), (q[1] + spread).alias(f"{name}_hi")]
-    found = measured.where("not base_failed and n_tokens > 0").withColumnRenamed("lang", "band_lang").rollup("band_lang").agg(*aggs)
-    return found.where(F.col("band_lang").isNull() | (F.col("band_docs") >= least_docs))
+    return measured.where("not base_failed and n_tokens > 0").groupBy("lang").agg(*aggs)
 
 
 def judge(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", min_words: int = 50, max_repeat_percent: int = 50, fence: float = 3.0, least_docs: int = 100) -> DataFrame:
@@ -154,14 +176,9 @@ def judge(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     )
     measured = written(measured, "fertility")  # numbers only; the bands and the verdicts read it
     found = bands(measured, fence, least_docs)
-    whole = found.where("band_lang is null").drop("band_lang", "band_docs")
-    ends = [f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]
-    per_lang = found.where("band_lang is not null").select(F.col("band_lang").alias("lang"), *[F.col(e).alias(f"own_{e}") for e in ends])
-    # Both sides are bounded: a band for each of at most 18 253 codes, and one row.
-    joined = measured.join(F.broadcast(per_lang), "lang", "left").join(F.broadcast(whole), F.lit(True), "left")
-    outside = [
-        F.when((F.col(m) < F.coalesce(f"own_{m}_lo", f"{m}_lo")) | (F.col(m) > F.coalesce(f"own_{m}_hi", f"{m}_hi")), F.lit(m)) for m in MEASURES
-    ]
+    # The bands are bounded by the number of codes and scripts.
+    joined = measured.join(F.broadcast(found), "lang", "left")
+    outside = [F.when((F.col(m) < F.col(f"{m}_lo")) | (F.col(m) > F.col(f"{m}_hi")), F.lit(m)) for m in MEASURES]
     failed = F.coalesce(*outside)
     return joined.select(
         *measured.columns, failed.alias("failed_band"), (~F.col("base_failed") & failed.isNull()).alias("kept")

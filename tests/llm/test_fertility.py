@@ -79,3 +79,26 @@ def test_bands_reject_rows_of_single_words(spark):
     got = {r["id"]: r for r in judge(frame(spark, [(i, prose(i)) for i in range(150)] + junk), PATH).collect()}
     assert all(got[i]["failed_band"] == "chars_per_token" and not got[i]["base_failed"] for i, _ in junk)
     assert all(got[i]["kept"] for i in range(150))
+
+
+def tagged(spark, rows):
+    return judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH)
+
+
+def korean(seed: int) -> str:
+    rnd = random.Random(seed)
+    return " ".join("".join(chr(rnd.randint(0xAC00, 0xD7A3)) for _ in range(rnd.randint(2, 4))) for _ in range(120))
+
+
+def test_a_small_language_is_judged_alike_at_every_count(spark):
+    latin = [(1000 + i, prose(i), "en") for i in range(300)]
+    for code in ("ko", None):
+        for n in (3, 99, 100):
+            got = {r["id"]: r for r in tagged(spark, latin + [(i, korean(i), code) for i in range(n)]).collect()}
+            assert all(got[i]["kept"] for i in range(n)), (code, n)
+
+
+def test_codes_without_subtags_and_unknown_ones_by_script(spark):
+    rows = [(0, prose(0), "pt-BR"), (1, prose(1), "PT_pt"), (2, prose(2), "zh-Hans"), (3, prose(3), None), (4, korean(4), "und"), (5, "1 2 3", "x"), (6, None, None)]
+    got = {r["id"]: r["lang"] for r in tagged(spark, rows).collect()}
+    assert got == {0: "pt", 1: "pt", 2: "zh", 3: "und-latin", 4: "und-hangul", 5: "und", 6: "und"}
