@@ -2,7 +2,7 @@
 
 Strong candidates ("base") stand by themselves: assignments to secret names, access ids, long
 hexadecimal runs. Weak candidates (a named account, a short or unnamed random value, an
-endpoint) mean nothing alone; they are reported only where complementary parts meet. Every
+endpoint; names may have a prefix as in ``DB_USER``) mean nothing alone; they are reported only where complementary parts meet. Every
 part becomes an interval, widened by ``reach`` characters; parts of one document and one scope
 (a paragraph between blank lines) are joined when their intervals meet. The join is an equi-join on
 (row, scope, slot of ``reach`` characters), so a part meets only its neighbourhood.
@@ -35,7 +35,17 @@ WEAK = {
     "weak_value": r"""(?i)\b(?:pass|pwd|pw|key|credential|auth|private_?key|client_?secret)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""",
     "endpoint": r"(?i)\b(?:[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~%@:/?#&=+-]{4,}|(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b)",
 }
-KINDS = ["assign", "access", "hex", *WEAK]
+#: More weak parts, as Java patterns: names after a prefix and ``_`` (after ``-`` a word begins), strong names with values
+#: too short to stand alone, and runs of 20 or more characters with small and capital letters and digits.
+#: An ``access_key`` is an account name, but a secret after ``secret_``.
+MORE = {
+    "prefixed_id": r"""(?i)(?<=[a-z0-9]_)(?:user(?:name|_?id)?|login|account|client_?id|(?<!secret_)access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""",
+    "prefixed_value": r"""(?i)(?<=[a-z0-9]_)(?:pass|pwd|pw|(?<!access_)key|(?<=secret_)access_?key|credential|auth|private_?key|client_?secret)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""",
+    "short_value": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,11}(?![A-Za-z0-9+/_.=-])""",
+    "random": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z0-9+/_=-]*?[a-z])(?=[A-Za-z0-9+/_=-]*?[A-Z])(?=[A-Za-z0-9+/_=-]*?[0-9])[A-Za-z0-9+/_=-]+",
+}
+KINDS = ["assign", "access", "hex", *WEAK, *MORE]
+WHO, SECRET = ("weak_id", "prefixed_id", "access"), ("weak_value", "prefixed_value", "short_value", "random", "assign", "hex")
 SCOPE_BREAK = r"\n[\x20\t]*\n"
 
 
@@ -78,14 +88,14 @@ def _listed(spans: Column) -> Column:
 def linked_parts(parts: DataFrame, reach: int) -> DataFrame:
     """The weak parts, of ``k1, k2, scope, start, rank, kind, end``, that complementary parts confirm."""
     role = (
-        F.when(F.col("kind").isin("weak_id", "access"), "who").when(F.col("kind").isin("weak_value", "assign", "hex"), "secret").otherwise("where")
+        F.when(F.col("kind").isin(*WHO), "who").when(F.col("kind").isin(*SECRET), "secret").otherwise("where")
     )
     parts = parts.withColumn("role", role)
     # A part covers the slots of its interval; the other side also covers the reach around it.
     slot = lambda c: F.floor(c / reach)
     near = parts.select("k1", "k2", "scope", F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("r")).where("r <> 'where'")
     near = near.withColumn("slot", F.explode(F.sequence(slot(F.col("s") - reach), slot(F.col("e") + reach))))
-    weak = parts.where(F.col("kind").isin(*WEAK))
+    weak = parts.where(F.col("kind").isin(*WEAK, *MORE))
     mine = weak.withColumn("slot", slot(F.col("start")))
     # The nearest interval of a pair meets the slot of the weak part's start or lies right of it
     # within reach of its end; long parts therefore cover all their slots.
@@ -109,8 +119,14 @@ def scan(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str
     text = F.col("text")
     base = F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 12), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
     weak = F.concat(*[_spans(text, _java(p), kind) for kind, p in WEAK.items()])
+    more = F.concat(*[_spans(text, p, kind) for kind, p in MORE.items() if kind != "random"])
     breaks = F.transform(_spans(text, SCOPE_BREAK, "break"), lambda b: b["end"])
-    scanned = rows.select("id", k1.alias("k1"), k2.alias("k2"), base.alias("base"), weak.alias("weak"), breaks.alias("breaks"), *named)
+    scanned = rows.select("id", k1.alias("k1"), k2.alias("k2"), base.alias("base"), weak.alias("weak"), more.alias("more"), _spans(text, MORE["random"], "random").alias("random"), breaks.alias("breaks"), *named)
+    # Inside a part that has the name already, a name is no part of its own; a random run that meets another part is its value.
+    fresh = F.filter("more", lambda m: ~F.exists(F.concat("base", "weak"), lambda p: (p["kind"] != "endpoint") & (p["start"] <= m["start"]) & (m["end"] <= p["end"])))
+    scanned = scanned.withColumn("weak", F.when(F.size("more") == 0, F.col("weak")).otherwise(F.concat("weak", fresh))).drop("more")
+    bare = F.filter("random", lambda r: ~F.exists(F.concat("base", "weak"), lambda p: (p["start"] < r["end"]) & (r["start"] < p["end"])))
+    scanned = scanned.withColumn("weak", F.when(F.size("random") == 0, F.col("weak")).otherwise(F.concat("weak", bare))).drop("random")
     some = F.size("weak") > 0
     parts = (
         scanned.where(some)

@@ -84,3 +84,17 @@ def test_many_parts(spark):
     text = " ".join(f"user=u{i:04d} pwd: p{i:06d}" for i in range(400))
     r = digest(scan(frame(spark, [(1, text)]))).first()
     assert len(r["spans"].split(",")) == 800
+
+
+def test_short_prefixed_and_unnamed_parts(spark):
+    value, key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "AKIA1234567890ABCD"
+    texts = [
+        ("username=alice password=hunter22 https://db.example.org:5432/x", "weak_id:0:14,short_value:15:32,endpoint:33:62"),
+        (f"aws_access_key_id = {key} aws_secret_access_key = {value}", "prefixed_id:4:38,access:20:38,prefixed_value:50:103"),
+        ("DB_USER=alice DB_PASS=hunter22 postgres://db/xyzw", "prefixed_id:3:13,prefixed_value:17:30,endpoint:31:49"),
+        (f"{key} {value}", "access:0:18,random:19:59"),
+        (f"{key} {value}".replace(" ", "\n\n"), "access:0:18"),
+        ("password=hunter22", ""), (value, ""), ("DB_USER=alice", ""), ("DB_PASS=hunter22", ""), ("aws_access_key = abcdefgh", ""), ("aws_secret_access_key = abcdefgh", ""),
+    ]
+    got = {r["id"]: r["spans"] for r in digest(scan(frame(spark, [(i, t) for i, (t, _) in enumerate(texts)]))).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
