@@ -59,9 +59,9 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, where: Column | None = Non
     return hit.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
 
 
-def top_k(scores: DataFrame, k: int, score: str = "score", key: str = "chunk_id") -> DataFrame:
-    """The k best by query, ties by the least key; adds ``rank`` from 1."""
-    order = Window.partitionBy("query_id").orderBy(F.round(score, 6).desc(), F.col(key).asc())
+def top_k(scores: DataFrame, k: int, score: str = "score", key: str = "chunk_id", digits: int = 6) -> DataFrame:
+    """The k best by query and by score rounded to ``digits``, ties by the least key; adds ``rank`` from 1."""
+    order = Window.partitionBy("query_id").orderBy(F.round(score, digits).desc(), F.col(key).asc())
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
@@ -76,11 +76,12 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 30, where: Column
     return top_k(scores, k)
 
 
-def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 30, block_bytes: int = 32 << 20) -> DataFrame:
+def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 30, block_bytes: int = 32 << 20, digits: int = 6) -> DataFrame:
     """Exact inner-product search. ``corpus``: chunk_id long, embedding; ``queries``: query_id long, embedding.
 
     Queries go to the executors in blocks of at most ``block_bytes``; every task multiplies its
     rows with a block and keeps k candidates per query, so only ``k x queries`` rows a task are shuffled.
+    Tasks and the last ranking compare scores rounded to the same ``digits``.
     """
     queries = queries.where("query_id is not null and embedding is not null")
     size = queries.select(F.count("*"), F.max(F.size("embedding"))).first()
@@ -96,12 +97,12 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 30, block_byte
             continue
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        part = corpus.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(_best_of(ids, matrix, k), "query_id long, chunk_id long, score double")
+        part = corpus.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(_best_of(ids, matrix, k, digits), "query_id long, chunk_id long, score double")
         found = part if found is None else found.unionByName(part)
-    return top_k(found, k)
+    return top_k(found, k, digits=digits)
 
 
-def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int):
+def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int = 6):
     def run(batches):
         best: tuple[np.ndarray, ...] | None = None
         for batch in batches:
@@ -113,7 +114,8 @@ def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int):
             q = np.repeat(np.arange(len(ids)), len(chunk))
             now = (q, np.tile(chunk, len(ids)), scores.ravel())
             best = now if best is None else tuple(np.concatenate(x) for x in zip(best, now))
-            order = np.lexsort((best[1], -np.round(best[2], 6), best[0]))
+            rounded = np.sign(best[2]) * np.floor(np.abs(best[2]) * 10.0**digits + 0.5)  # halves up, as in ``top_k``
+            order = np.lexsort((best[1], -rounded, best[0]))
             q = best[0][order]
             nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
             keep = order[nth < k]

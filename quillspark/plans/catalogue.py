@@ -680,9 +680,8 @@ def trace_summary_p95(spark, sf_dir):
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rn <= 15 THEN 16 - rn ELSE 15 + rn END, rn) AS final_rank FROM c""")
 def rank_pool15(spark, sf_dir):
     """A ranker that turns the pool round."""
-    found = search.vector_search(_corpus(spark, sf_dir), _query_vectors(spark, sf_dir), 60).withColumn("score", F.round("score", 4))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    ranked = found.withColumn("rn", F.row_number().over(w)).where("rn <= 30")
+    found = search.vector_search(_corpus(spark, sf_dir), _query_vectors(spark, sf_dir), 30, digits=4)
+    ranked = found.select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").alias("rn"))
     order = ranked.where("rn <= 15").select("query_id", "chunk_id", (16 - F.col("rn")).alias("place"))
     return quality.rerank_pool(ranked.select("query_id", "chunk_id", "score"), order).select("query_id", "chunk_id", "final_rank")
 

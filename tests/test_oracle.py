@@ -40,3 +40,13 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_rank_pool15_keeps_ties_of_four_places(spark, tmp_path):
+    """200 near copies, the nearer the greater their id."""
+    near = [(i, [1.0, i * 4e-5], 0) for i in range(200)]
+    spark.createDataFrame(near, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(catalogue.SQL["rank_pool15"]).fetchall())
+    assert sorted(tuple(r) for r in catalogue.QUERIES["rank_pool15"](spark, str(tmp_path)).collect()) == want
