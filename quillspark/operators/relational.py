@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.shared import written
+
 from .routing import LIST_WORDS, any_word
 
 
@@ -84,12 +86,15 @@ def dedup_index(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], base: int = 0) -> DataFrame:
-    """Adds ``idx``: the row's place by a total order, without one task sorting the whole table.
+    """Adds ``idx``: the row's place by an order, without one task sorting the whole table.
 
-    Rows are range-partitioned and counted per partition; a row's number is the count before its
-    partition plus its place within.
+    Rows are range-partitioned, numbered within their partition and written once; the counts by partition and
+    the numbers come from that one copy, so both see the same partitions. Ties of the
+    order fall by the hash of the whole row, so a hot value is spread over partitions too.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    tie = F.xxhash64(*rows.columns)
+    ranged = rows.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+    ranged = written(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranged")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # one row a partition
     return ranged.join(F.broadcast(before.select("_p", "_before", "_first")), "_p").withColumn("idx", (F.col("_i") - F.col("_first") + F.col("_before") + base).cast("long")).drop("_p", "_i", "_first", "_before")
