@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.shared import discard, lookup, shared_dir, written  # noqa: F401
+
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Select columns by exact name under new names, whatever other columns are called.
@@ -83,29 +84,6 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (unit tests on one machine), a folder under the
-    warehouse is taken, which Spark itself resolves.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation, and a
-    nondeterministic id column becomes fixed. Files are named at random and left to the
-    cluster's clean-up of the checkpoint folder, as a lazily evaluated result still reads them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class BoundedCache(dict):
     """A dict that is emptied when it has ``limit`` entries: values never depend on it."""
 

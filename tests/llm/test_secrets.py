@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm.secrets import digest, masked, scan
+from quillspark.llm.secrets import KINDS, SECRET, WHO, digest, masked, scan
 
 from .conftest import frame
 
@@ -63,9 +65,12 @@ def test_weak_parts_need_each_other(got):
     assert spans[9][0].startswith("weak_id:0:10,assign:11:")
 
 
-def test_masked(spark):
-    df = scan(frame(spark, list(enumerate(TEXTS))), carry=["text"])
-    for r in df.select("carry0", "spans", masked(F.col("carry0"), F.col("spans")).alias("m")).collect():
+@pytest.mark.parametrize("block", [5, 4096])
+def test_masked(spark, block):
+    df = scan(frame(spark, [*enumerate(TEXTS), (5, TEXTS[5])]), carry=["text", "text"])
+    got = masked(df, "carry1", block=block).select("carry0", "spans", F.col("carry1").alias("m")).collect()
+    assert len(got) == len(TEXTS) + 1
+    for r in got:
         want, at = "", 0
         for s in r["spans"]:
             if s["start"] >= at:
@@ -75,7 +80,7 @@ def test_masked(spark):
 
 
 def test_no_python(spark, none):
-    df = scan(frame(spark, list(enumerate(TEXTS))))
+    df = masked(scan(frame(spark, list(enumerate(TEXTS))), carry=["text"]), "carry0")
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
     assert digest(scan(none)).count() == 0
 
@@ -98,3 +103,47 @@ def test_short_prefixed_and_unnamed_parts(spark):
     ]
     got = {r["id"]: r["spans"] for r in digest(scan(frame(spark, [(i, t) for i, (t, _) in enumerate(texts)]))).collect()}
     assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
+def test_megabytes_of_matches(spark):
+    """Time in proportion to the matches: two million characters of hexadecimal runs, names and paragraphs."""
+    rnd = random.Random(5)
+    lines = [f"{rnd.getrandbits(80):020x} user=u{i:06d} pwd: p{i:06d}" + "\n\n" * (i % 3 == 0) for i in range(44_000)]
+    text = " ".join(lines)
+    assert len(text) > 2_000_000
+    began = time.perf_counter()
+    df = scan(frame(spark, [(1, text)]), carry=["text"])
+    r = digest(df).first()
+    shown = masked(df, "carry0").first()["carry0"]
+    took = time.perf_counter() - began
+    assert (r["n_hex"], r["spans"].count("weak_id"), r["spans"].count("weak_value")) == (44_000, 44_000, 44_000)
+    assert r["base_sha256"] == hashlib.sha256(listed(base(text)).encode()).hexdigest()
+    assert shown.count("[secret]") == 132_000 and took < 60, took
+
+
+def test_random_runs_against_a_plain_version(spark):
+    """Overlaps of the extra parts, by comparing every pair."""
+    from quillspark.llm.secrets import MORE, WEAK
+
+    rnd = random.Random(11)
+    bits = ["user=al_ice", "DB_USER=bob", "api_key=abcdef", "token: Ab3xyzAb3xyzAb3xyzAb3x", "x_key=Ab3xyzAb3xyzAb3xyzAb3xyz9", "Zz9aaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef0123", "http://a.b/c?user=dan&pwd=Abc123Abc123Abc123Abc1", "\n\n", "my_pass=hunter22", "AKIA1234567890ABCD", "word"]
+    texts = [rnd.choice([" ", "", "_", " "]).join(rnd.choice(bits) for _ in range(rnd.randint(1, 12))) for _ in range(150)]
+
+    def plain(text: str) -> str:
+        strong = base(text)
+        find = lambda p, k: [(m.start(), m.end(), k) for m in re.finditer(p, text, re.ASCII)]
+        parts = [(s, e, k) for s, _, k, e in strong] + [x for k, p in WEAK.items() for x in find(p, k)]
+        parts += [m for k, p in MORE.items() if k != "random" for m in find(p, k) if not any(k2 != "endpoint" and s <= m[0] and m[1] <= e for s, e, k2 in parts[: len(parts)] if k2 in ("assign", "access", "hex", *WEAK))]
+        parts += [m for m in find(MORE["random"], "random") if not any(s < m[1] and m[0] < e for s, e, k2 in parts)]
+        ends = [m.end() for m in re.finditer(r"\n[\x20\t]*\n", text)]
+        role = lambda k: "who" if k in WHO else "secret" if k in SECRET else "where"
+        place = lambda s: sum(e <= s for e in ends)
+        out = {(s, KINDS.index(k), k, e) for s, e, k in parts if k in ("assign", "access", "hex")}
+        for s, e, k in parts:
+            near = {role(k2) for s2, e2, k2 in parts if place(s2) == place(s) and s2 - 200 < e and s < e2 + 200} - {"where"}
+            if (s, KINDS.index(k), k, e) not in out and ({"who": "secret" in near, "secret": "who" in near, "where": near >= {"who", "secret"}}[role(k)]):
+                out.add((s, KINDS.index(k), k, e))
+        return listed(sorted(out))
+
+    got = {r["id"]: r["spans"] for r in digest(scan(frame(spark, list(enumerate(texts))))).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
