@@ -152,7 +152,7 @@ def scan(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str
     rows = pick(df, id=id_col, text=text_col, **named).withColumn("text", whole_text(F.col("text")))
     text = F.col("text")
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, **{k: _java(p) for k, p in WEAK.items()}, **MORE, "break": SCOPE_BREAK}
-    found = rows.select("id", *named, *[_runs(text, p, (), kind == "assign").alias(kind) for kind, p in patterns.items()])
+    found = rows.select("id", *named, *[_runs(text, p, NEEDS.get(kind, ()), kind == "assign").alias(kind) for kind, p in patterns.items()])
     found = written(found.withColumn("rid", F.monotonically_increasing_id()), "matches")
     some = " or ".join(f"size(`{kind}`) > 0" for kind in KINDS)
     parts = written(placed_parts(found.where(some).select("rid", *patterns)), "parts")
