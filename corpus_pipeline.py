@@ -47,14 +47,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask every secret found."""
     others = [c for c in docs.columns if c != "text"]
-    found = secrets.scan(docs, reach=200, carry=[*others, "text"])
+    found = secrets.masked(secrets.scan(docs, reach=200, carry=[*others, "text"]), f"carry{len(others)}")
     new = {c: F.col(f"carry{i}") for i, c in enumerate([*others, "text"])}
-    some = F.size("spans") > 0
-    text = secrets.masked(new["text"], F.col("spans"))
     if "n_chars" in new:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(some, F.char_length(text).cast(kind)).otherwise(new["n_chars"])
-    new["text"] = text
+        new["n_chars"] = F.when(F.size("spans") > 0, F.char_length(new["text"]).cast(kind)).otherwise(new["n_chars"])
     return found.select(*[new[c].alias(c) for c in docs.columns])
 
 
