@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.shared import written
 
-from .routing import LIST_WORDS, any_word
+from .routing import LIST_WORDS, any_word, inside
 
 
 def not_indexed(files: DataFrame, indexed: DataFrame, key: str = "source") -> DataFrame:
@@ -53,12 +53,11 @@ def bundle_sections(hits: DataFrame, chunks: DataFrame, keys: list[str], list_si
 
     ``hits``: query_id, chunk_id, score; ``chunks``: chunk_id, ``keys``, section_title, idx.
     """
-    w = Window.partitionBy(*keys)
-    sized = chunks.withColumn("n", F.count("*").over(w)).withColumn("title", F.first("section_title").over(w.orderBy("idx")))
-    listed = sized.where((F.col("n") >= list_size) | any_word(F.col("title"), LIST_WORDS)).select("chunk_id", *keys, "idx")
-    placed = hits.join(chunks.select("chunk_id", *keys), "chunk_id")
-    wanted = placed.groupBy("query_id", *keys).agg(F.max("score").alias("best"))
-    siblings = listed.join(wanted, keys).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    wanted = hits.join(chunks.select("chunk_id", *keys), "chunk_id").select("query_id", *keys).distinct()
+    own = chunks.select("chunk_id", *keys, "section_title", "idx").join(wanted.select(*keys).distinct(), keys, "left_semi")  # sections that were hit, no others
+    sized = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("section_title", "idx").alias("title"))
+    listed = sized.where((F.col("n") >= list_size) | any_word(F.col("title"), LIST_WORDS)).select(*keys)
+    siblings = own.join(wanted.join(listed, keys, "left_semi"), keys).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
     return siblings.unionByName(hits.select("query_id", "chunk_id", "score")).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
 
 
@@ -72,6 +71,20 @@ def page_neighbourhood(figures: DataFrame, targets: DataFrame, reach: int = 3) -
     return figures.join(pages, ["paper", "page_no"]).where((F.col("kind") == F.col("want")) | (F.col("kind") == "page"))
 
 
+def keyword_source(keywords: DataFrame, sources: DataFrame) -> DataFrame:
+    """``keyword, source``: the first source (by ``idx``) whose name or title holds the keyword, else the first whose archive id does.
+
+    ``sources``: source, title, archive_id, idx, one row a source. Keywords of one character find nothing.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    words = keywords.select(F.lower("keyword").alias("token")).where("char_length(token) >= 2").distinct()
+    names = sources.select("source", "idx", low("source").alias("name"), low("title").alias("title"), low("archive_id").alias("archive_id"))
+    met = inside(words, names, ["name", "title", "archive_id"], 2)
+    by_name = F.contains("name", "token") | F.contains("title", "token")
+    first = met.groupBy("token").agg(F.min_by("source", F.struct((~by_name).alias("late"), "idx")).alias("source"))
+    return keywords.join(first, F.lower("keyword") == F.col("token")).select("keyword", "source")
+
+
 def dedup_text(rows: DataFrame, order: list[Column], group: list[str] | None = None, text: str = "text", prefix: int = 500) -> DataFrame:
     """The first row, by ``order``, of each prefix of the text."""
     w = Window.partitionBy(*(group or []), F.substring(text, 1, prefix)).orderBy(*order)

@@ -101,11 +101,31 @@ def _neighbours(parts: Column) -> Column:
     return F.filter(named, lambda x: x["b"].isNotNull())
 
 
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def inside(words: DataFrame, names: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
+    """Pairs of ``words`` (token, of ``n`` characters or more) and rows of ``names`` (source) one of whose ``columns`` holds the token.
+
+    Whatever holds a token has all its grams of ``n`` characters: tokens meet the names that have their rarest one, and the substring test decides.
+    """
+    every = F.array_distinct(F.flatten(F.array(*[F.coalesce(_grams(F.col(c), n), F.array().cast("array<string>")) for c in columns])))
+    grams = names.select("source", F.explode(every).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    own = words.select("token", F.explode(_grams(F.col("token"), n)).alias("gram")).join(counts, "gram", "left")
+    rarest = own.groupBy("token").agg(F.min_by("gram", "n").alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0").drop("unknown")
+    met = rarest.join(grams, "gram").join(names, "source")
+    holds = F.lit(False)
+    for c in columns:
+        holds = holds | F.coalesce(F.contains(F.col(c), F.col("token")), F.lit(False))
+    return met.where(holds).drop("gram").join(words, "token")
+
+
 def filename_router(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """``query_id, source, score`` of the one source a question names, if it is clear. ``sources``: distinct ``source``.
 
-    Exact tokens join by equality; the substring test compares distinct question tokens with
-    source names only, both small beside the corpus.
+    Exact tokens join by equality; tokens inside a name are found by trigrams.
     """
     files = sources.select("source", file_tokens(F.col("source")).alias("tokens"), match_text(F.replace(F.regexp_replace("source", r"\.[A-Za-z0-9]+$", ""), F.lit("_"), F.lit(" "))).alias("stem"))
     asked = questions.select("query_id", F.explode(question_tokens(F.col("text"))).alias("token"))
@@ -115,7 +135,7 @@ def filename_router(questions: DataFrame, sources: DataFrame) -> DataFrame:
     words = words.select("token", (1 + F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))).alias("idf"))
     exact = words.join(files.select("source", F.explode("tokens").alias("token")), "token").select("token", "source", (EXACT * F.col("idf")).alias("part"))
     stems = files.select("source", "stem", F.replace("stem", F.lit(" "), F.lit("")).alias("compact"))
-    loose = words.where("char_length(token) >= 3").join(stems, F.contains("stem", "token") | F.contains("compact", "token"))
+    loose = inside(words.where("char_length(token) >= 3"), stems, ["stem", "compact"])
     loose = loose.select("token", "source", (PARTIAL * F.col("idf")).alias("part"))
     part = exact.unionByName(loose).groupBy("token", "source").agg(F.max("part").alias("part"))
     scored = asked.join(part, "token").groupBy("query_id", "source").agg(F.sum("part").alias("score"), F.count("*").alias("hits"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.functions import vectors as vx
 from quillspark.operators import chunking, dialogue, quality_of_search as quality, relational, routing, search, tables
+from quillspark.plans import retrieval
+from quillspark.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,8 +28,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables whose rows take long: in a single file they would keep one core busy.
+_WIDE = {"documents", "pages", "embeddings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in _WIDE else rows
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,8 +288,8 @@ def exact_table_lock(spark, sf_dir):
 def keyword_source(spark, sf_dir):
     """The first source, by index, whose name has the keyword."""
     keys = table(spark, sf_dir, "nation").select(F.concat(F.lit("Brand#"), (F.col("n_nationkey") % 5 + 1).cast("string")).alias("keyword")).distinct()
-    sources = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("idx"))  # distinct sources first: few rows meet the test
-    return keys.join(sources, F.contains(F.lower("p_brand"), F.lower("keyword"))).groupBy("keyword").agg(F.min_by("p_brand", "idx").alias("source"))
+    sources = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("source")).agg(F.min("p_partkey").alias("idx")).withColumns({"title": F.lit(""), "archive_id": F.lit("")})
+    return relational.keyword_source(keys, sources)
 
 
 # --- ingest ----------------------------------------------------------------------------------
@@ -592,13 +599,96 @@ def hash_embedding(spark, sf_dir):
 
 @query("greedy_chunk")
 def greedy_chunk(spark, sf_dir):
-    return chunking.chunk(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-
-
-@query("section_detect")
+    return chunking.chunk(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", separator="\n")
+
+
+# Papers made of documents, as no table has headings: keyword, Roman with torn capitals, letter and Arabic headings, weak ones (the second too
+# near the first), a table block, blank lines, a reference list; each tenth has its text alone.
+_PAPERS = """SELECT 'p' || doc_id AS source, CASE WHEN doc_id % 10 = 9 THEN body ELSE 'A study numbered ' || doc_id || nl || 'Abstract' || nl || coalesce(text, '') || nl
+  || CASE doc_id % 3 WHEN 0 THEN 'I. I NTRODUCTION AND SCOPE' WHEN 1 THEN '## 1. Introduction' ELSE 'Introduction' END || nl || body || nl || 'A. Dataset used here' || nl || body || nl || '2.1 Training loss' || nl
+  || '[TABLE_HTML: Table_' || (doc_id % 12) || ' | Page 2]' || nl || nl || '<table><tr><th>Method</th></tr></table>' || nl || '[/TABLE_HTML]' || nl || body || nl || 'Model Overview' || nl || 'Training Setup' || nl || body || nl
+  || 'Reference' || nl || body END AS full_text FROM (SELECT doc_id, text, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS body, chr(10) AS nl FROM documents)"""
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_PAPERS.replace("FROM documents", "FROM {docs}"), docs=table(spark, sf_dir, "documents"))
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _capitals_sql(text: str) -> str:
+    text = f"regexp_replace(trim({text}, {_WS}), '\\s+', ' ', 'g')"
+    for _ in range(5):
+        text = f"regexp_replace({text}, '([A-Z])\\s+([A-Z])', '\\1\\2', 'g')"
+    return text
+
+
+_WORDS_N = "len(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))"
+_TITLE_WORD = "regexp_matches(lower({}), '" + "|".join(chunking.TITLE_WORDS) + "')"
+_SECTIONS_SQL = f"""papers AS ({_PAPERS}),
+lines AS (SELECT source, string_split(full_text, chr(10)) AS lines FROM papers),
+each AS (SELECT source, generate_subscripts(lines, 1) - 1 AS i, trim(unnest(lines), {_WS}) AS line FROM lines),
+short AS (SELECT source, i, line, regexp_extract(line, '{chunking.KEYWORD}', 1) AS word, upper(regexp_extract(line, '{chunking.ROMAN}', 1)) AS roman, {_capitals_sql(f"regexp_extract(line, '{chunking.ROMAN}', 2)")} AS roman_title,
+  regexp_extract(line, '{chunking.LETTER}', 1) AS letter, trim(regexp_extract(line, '{chunking.LETTER}', 2), {_WS}) AS letter_raw, regexp_extract(line, '{chunking.ARABIC}', 1) AS arabic, {_capitals_sql(f"regexp_extract(line, '{chunking.ARABIC}', 2)")} AS arabic_title
+  FROM each WHERE length(line) BETWEEN 1 AND 100),
+kinds AS (SELECT *, CASE WHEN word <> '' THEN 'keyword'
+  WHEN roman <> '' AND length(roman_title) <= 80 AND len(regexp_extract_all(roman_title, '[A-Za-z]')) > 0 AND len(regexp_extract_all(roman_title, '[A-Z]')) >= 0.7 * len(regexp_extract_all(roman_title, '[A-Za-z]')) THEN 'roman'
+  WHEN letter <> '' AND length(letter_raw) <= 70 AND NOT regexp_matches(line, '[0-9]{{4}}') AND NOT (contains(line, ',') AND (regexp_matches(lower(line), ' and |et al') OR regexp_matches(line, ',.*,'))) AND ({_TITLE_WORD.format('letter_raw')} OR {_WORDS_N.format('letter_raw')} <= 8) THEN 'letter'
+  WHEN arabic <> '' AND regexp_matches(arabic_title, '^[A-Z]') AND try_cast(split_part(arabic, '.', 1) AS BIGINT) <= 10000 AND try_cast(split_part(arabic, '.', 1) AS BIGINT) NOT BETWEEN 1900 AND 2099 THEN 'arabic'
+  WHEN length(line) BETWEEN 5 AND 60 AND {_WORDS_N.format('line')} BETWEEN 2 AND 8 AND NOT regexp_matches(line, '%|[0-9]+/[0-9]+') AND NOT regexp_matches(line, '(?i)(?:Fig|Table|Figure)\\s*[0-9]')
+    AND ((line = upper(line) AND line <> lower(line)) OR (line[1] = upper(line[1]) AND line[1] <> lower(line[1]) AND NOT regexp_matches(line, '[.:;,)\\]]$'))) AND {_TITLE_WORD.format('line')} THEN 'weak' END AS kind FROM short),
+cands AS (SELECT source, i, kind, row_number() OVER (PARTITION BY source ORDER BY i) AS n,
+  CASE kind WHEN 'keyword' THEN word WHEN 'roman' THEN roman WHEN 'letter' THEN letter WHEN 'arabic' THEN arabic ELSE line[1:30] END AS mark,
+  CASE kind WHEN 'keyword' THEN word WHEN 'roman' THEN roman || '. ' || roman_title WHEN 'letter' THEN letter || '. ' || {_capitals_sql('letter_raw')} WHEN 'arabic' THEN arabic || ' ' || arabic_title ELSE line END AS title,
+  CASE kind WHEN 'keyword' THEN CASE WHEN lower(word) = 'abstract' THEN 0 ELSE 1 END WHEN 'letter' THEN 2 WHEN 'arabic' THEN len(string_split(arabic, '.')) ELSE 1 END AS level,
+  CASE kind WHEN 'keyword' THEN CASE WHEN lower(word) = 'abstract' THEN 0 ELSE 1 END WHEN 'roman' THEN list_position(['I','II','III','IV','V','VI','VII','VIII','IX','X'], roman) WHEN 'letter' THEN ascii(letter) - 64 WHEN 'arabic' THEN try_cast(split_part(arabic, '.', 1) AS BIGINT) END AS number FROM kinds WHERE kind IS NOT NULL),
+fold AS (SELECT source, 0::BIGINT AS n, 0::BIGINT AS i, false AS taken, []::BIGINT[] AS seen, 0 AS level, 0::BIGINT AS number, '' AS id, '' AS title, NULL::VARCHAR AS parent, NULL::VARCHAR AS parent_id FROM lines
+  UNION ALL SELECT source, n, i, taken, CASE WHEN taken THEN list_append(seen, i) ELSE seen END, level, CASE WHEN kind = 'weak' THEN len(seen) + 1 ELSE number END, CASE WHEN level >= 2 AND parent IS NOT NULL THEN parent_id || '.' || mark ELSE mark END,
+    CASE WHEN level >= 2 AND parent IS NOT NULL THEN parent || ' - ' || title ELSE title END, CASE WHEN taken AND level = 1 THEN title ELSE parent END, CASE WHEN taken AND level = 1 THEN mark ELSE parent_id END
+  FROM (SELECT c.*, f.seen, f.parent, f.parent_id, c.kind <> 'weak' OR len(list_filter(list_slice(f.seen, -3, -1), lambda x: c.i - x < 5)) = 0 AS taken FROM fold f JOIN cands c ON c.source = f.source AND c.n = f.n + 1)),
+heads AS (SELECT *, lead(i) OVER (PARTITION BY source ORDER BY i) AS next_i FROM fold WHERE taken),
+found AS (SELECT h.source, h.id AS section_id, h.title, h.level, h.number, h.i AS start, trim(array_to_string(list_slice(lines, h.i + 2, coalesce(h.next_i, len(lines))), chr(10)), {_WS}) AS content FROM heads h JOIN lines USING (source)),
+sections AS (SELECT * FROM found WHERE length(content) >= 100 OR lower(title) = 'abstract')"""
+
+
+@query("section_detect", f"WITH RECURSIVE {_SECTIONS_SQL} SELECT source, section_id, title, level::BIGINT AS level, number::BIGINT AS number, start::BIGINT AS start, content FROM sections")
 def section_detect(spark, sf_dir):
-    papers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.col("text").alias("full_text"))
-    return chunking.sections(papers)
+    found = chunking.sections(_papers(spark, sf_dir))
+    return found.select("source", "section_id", "title", *[F.col(c).cast("long").alias(c) for c in ("level", "number", "start")], "content")
+
+
+def _tokens_sql(text: str) -> str:
+    cjk = f"length(regexp_replace({text}, '[^一-鿿]', '', 'g'))"
+    return f"floor({cjk} / 1.5 + (length({text}) - {cjk}) / 4.0)::BIGINT"
+
+
+_BLOCK_SQL = "'(?s)\\[TABLE_HTML:.*?\\[/TABLE_HTML\\]'"
+_PARAGRAPHS_SQL = f"list_filter(list_transform(string_split_regex(coalesce(x, ''), '\\n\\s*\\n'), lambda y: {{'t': trim(y, {_WS}), 'tab': false}}), lambda y: length(y.t) > 20)"
+_CHUNKS_SQL = f"""{_SECTIONS_SQL},
+texts AS (SELECT source, start, section_id, title, level, number, content, true AS cut FROM sections WHERE lower(title) NOT IN ('reference', 'references', 'bibliography', 'appendix')
+  UNION ALL SELECT source, NULL, NULL, NULL, NULL, NULL, full_text, false FROM papers WHERE source NOT IN (SELECT source FROM sections)),
+split AS (SELECT *, string_split_regex(content, {_BLOCK_SQL}) AS parts, regexp_extract_all(content, {_BLOCK_SQL}) AS blocks FROM texts),
+lists AS (SELECT source, start, cut, flatten(list_transform(parts, lambda x, i: {_PARAGRAPHS_SQL} || CASE WHEN i <= len(blocks) THEN [{{'t': blocks[i], 'tab': true}}] ELSE [] END)) AS ps FROM split),
+pack AS (SELECT source, start, cut, ps, 0::BIGINT AS n, '' AS held, 0::BIGINT AS tokens, []::STRUCT(t VARCHAR, k BIGINT)[] AS made FROM lists
+  UNION ALL SELECT source, start, cut, ps, n + 1, CASE WHEN tab AND cut THEN '' WHEN held = '' THEN p WHEN NOT over THEN held || nl || p WHEN cut THEN carried || nl || p ELSE p END,
+    CASE WHEN tab AND cut THEN 0 WHEN held = '' THEN k WHEN NOT over THEN tokens + k WHEN cut THEN {_tokens_sql("(carried || nl || p)")} ELSE k END,
+    made || CASE WHEN held <> '' AND (over OR tab AND cut) THEN [{{'t': held, 'k': CASE WHEN cut THEN {_tokens_sql("held")} ELSE tokens END}}] ELSE [] END || CASE WHEN tab AND cut THEN [{{'t': p, 'k': k}}] ELSE [] END
+  FROM (SELECT *, array_to_string(CASE WHEN len(ws) <= 3 THEN ws ELSE list_slice(ws, -least(floor(0.3::DOUBLE * len(ws))::BIGINT, 128), -1) END, ' ') AS carried FROM (
+    SELECT *, tokens + k > 512 AS over, list_filter(string_split_regex(held, '\\s+'), lambda w: w <> '') AS ws, chr(10) || chr(10) AS nl FROM (SELECT *, ps[n + 1].t AS p, ps[n + 1].tab AS tab, {_tokens_sql("ps[n + 1].t")} AS k FROM pack WHERE n < len(ps))))),
+ended AS (SELECT source, start, made || CASE WHEN held <> '' THEN [{{'t': held, 'k': CASE WHEN cut THEN {_tokens_sql("held")} ELSE tokens END}}] ELSE [] END AS made FROM pack WHERE n = len(ps)),
+chunks AS (SELECT source, start, generate_subscripts(made, 1) - 1 AS ordinal, unnest(made) AS m FROM ended)"""
+
+
+@query("paper_chunks", f"""WITH RECURSIVE {_CHUNKS_SQL} SELECT c.source, c.start::BIGINT AS start, c.ordinal::BIGINT AS ordinal, m.t AS text, m.k AS tokens, s.title AS section_title, s.section_id, s.level::BIGINT AS section_level,
+  CASE WHEN s.title IS NOT NULL AND contains(split_part(m.t, chr(10), 1), '[TABLE_HTML:') THEN 'table' WHEN lower(s.title) = 'abstract' THEN 'abstract' ELSE 'body' END AS chunk_type,
+  s.title IS NOT NULL AND contains(split_part(m.t, chr(10), 1), '[TABLE_HTML:') AS is_table,
+  CASE WHEN s.title IS NOT NULL AND contains(split_part(m.t, chr(10), 1), '[TABLE_HTML:') AND regexp_matches(split_part(m.t, chr(10), 1), '(?i)Table_[0-9]+') THEN 'Table_' || regexp_extract(split_part(m.t, chr(10), 1), '(?i)Table_([0-9]+)', 1) ELSE '' END AS table_id
+  FROM chunks c LEFT JOIN sections s ON s.source = c.source AND s.start = c.start""")
+def paper_chunks(spark, sf_dir):
+    """From text to chunks with their metadata."""
+    found = chunking.chunk_papers(_papers(spark, sf_dir))
+    return found.select("source", F.col("start").cast("long").alias("start"), "ordinal", "text", "tokens", "section_title", "section_id", F.col("section_level").cast("long").alias("section_level"), "chunk_type", "is_table", "table_id")
 
 
 # --- rewriting, memory -----------------------------------------------------------------------------
@@ -710,6 +800,99 @@ def context_assembly(spark, sf_dir):
     return top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines")).select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"))
 
 
+# The whole path from question to sources. Documents stand in for chunks with sections, titles and tables of their own, benchmark items for
+# questions; each item's vector is the one with its id.
+_RAG_CHUNKS = """SELECT doc_id AS chunk_id, doc_id AS idx, text, source || '_' || lang || '.pdf' AS source, 'About ' || source AS title, '2507.' || (10000 + length(source) * 7) AS archive_id,
+  (1 + doc_id % 4) || '.' || (doc_id % 7) AS section_id, CASE doc_id % 5 WHEN 0 THEN 'Method' WHEN 1 THEN 'Dataset setup' WHEN 2 THEN 'Experiments and results' WHEN 3 THEN 'Training details' ELSE '' END AS section_title,
+  CASE WHEN doc_id % 6 = 0 THEN 'Table_' || (doc_id % 9) ELSE '' END AS table_id, doc_id % 6 = 0 AS is_table FROM documents"""
+_RAG_ASKED = """SELECT item_id AS query_id, CASE item_id % 8 WHEN 0 THEN 'Table ' || (item_id % 9) || ' of it, ' WHEN 1 THEN 'Section ' || (1 + item_id % 4) || '.' || (item_id % 7) || ' on ' WHEN 2 THEN 'the Src' || (item_id % 5) || ' paper on '
+  WHEN 3 THEN 'Chapter ' || (1 + item_id % 4) || ' in the Src' || (item_id % 5) || ' paper, ' WHEN 4 THEN 'which datasets and results for ' WHEN 5 THEN 'parameters of ' WHEN 6 THEN 'src' || (item_id % 5) || ' en and ' ELSE '' END || text AS text FROM benchmark"""
+
+
+def _rag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = spark.sql(_RAG_CHUNKS.replace("FROM documents", "FROM {docs}"), docs=table(spark, sf_dir, "documents"))
+    return chunks, spark.sql(_RAG_ASKED.replace("FROM benchmark", "FROM {items}"), items=table(spark, sf_dir, "benchmark"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    chunks, asked = _rag(spark, sf_dir)
+    # The corpus is tokenised once: index and scores read the written tokens.
+    index = search.bm25_index(chunks).stored()
+    vectors = _corpus(spark, sf_dir).join(chunks.select("chunk_id"), "chunk_id", "left_semi")  # a vector has its chunk
+    return retrieval.retrieve(index, vectors, asked, _item_vectors(spark, sf_dir), **how)
+
+
+_BOOST_OF = "CASE WHEN title = '' THEN 1.0 " + " ".join(f"WHEN intent = '{n}' AND {_any('title', w)} THEN {1.3 if n == 'architecture' else 1.8}" for n, w in routing.SECTION_WORDS.items())
+_BOOST_OF += " WHEN intent = 'general' AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '' AND contains(lower(title), w))) > 0 THEN 1.3 ELSE 1.0 END::DOUBLE"
+_MATCH_OF = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\\bsam\\s*[-_]?\\s*2\\b', 'sam_2', 'g'), '[^\\w\\s一-鿿]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_RAG_SQL = f"""c AS ({_RAG_CHUNKS}), q0 AS ({_RAG_ASKED}),
+refs AS (SELECT query_id, text, {_intent_sql('text')} AS intent,
+  coalesce(nullif(regexp_extract(text, '\\b([0-9]{{4}}\\.[0-9]{{4,5}}v?[0-9]*)\\b', 1), ''), CASE WHEN length(regexp_extract(text, '(?:the\\s+)?([A-Z][A-Za-z0-9-]+)\\s+(?:paper|论文|model)', 1)) >= 3 THEN regexp_extract(text, '(?:the\\s+)?([A-Z][A-Za-z0-9-]+)\\s+(?:paper|论文|model)', 1) END) AS paper_ref,
+  coalesce(nullif(regexp_extract(text, '(?:Section|section|CHAPTER|Chapter)\\s+([0-9]+(?:\\.[0-9]+)*)', 1), ''), nullif(regexp_extract(text, '^([0-9]+(?:\\.[0-9]+)*)\\s', 1), ''), {_NAMES_SQL}) AS section_ref,
+  CASE WHEN regexp_extract(text, '(?:(?:[Tt]able|[Tt]ab)\\b|表)\\s*[-_.]?\\s*([0-9]+)', 1) <> '' THEN 'Table_' || regexp_extract(text, '(?:(?:[Tt]able|[Tt]ab)\\b|表)\\s*[-_.]?\\s*([0-9]+)', 1) END AS table_ref FROM q0),
+files AS (SELECT source, min(idx) AS idx, min_by(title, idx) AS title, min_by(archive_id, idx) AS archive_id FROM c GROUP BY source),
+ft AS (SELECT source, {_MATCH_OF.format("replace(regexp_replace(source, '\\.[A-Za-z0-9]+$', ''), '_', ' ')")} AS norm, list_filter(string_split(lower(regexp_replace(source, '\\.[A-Za-z0-9]+$', '')), '_'), lambda x: x <> '') AS p FROM files),
+fk AS (SELECT source, norm, list_distinct(list_filter(p, lambda x: length(x) >= 2 OR regexp_full_match(x, '[0-9]+')) || list_transform(list_filter(range(1, len(p)), lambda i: length(p[i]) >= 2), lambda i: p[i] || '_' || p[i + 1])) AS tokens FROM ft),
+qp AS (SELECT query_id, list_filter(string_split_regex(replace({_MATCH_OF.format('text')}, '_', ' '), '\\s+'), lambda x: x <> '') AS p FROM q0),
+qn AS (SELECT query_id, p, list_filter(range(1, len(p)), lambda i: len(list_filter([p[i]], lambda x: {_GOOD})) > 0) AS places FROM qp),
+qt AS (SELECT query_id, unnest(list_distinct(list_filter(p, lambda x: {_GOOD}) || list_transform(places, lambda i: p[i] || '_' || p[i + 1]) || list_transform(list_filter(places, lambda i: regexp_full_match(p[i + 1], '[0-9]+')), lambda i: p[i] || p[i + 1]))) AS token FROM qn),
+own AS (SELECT source, unnest(tokens) AS token FROM fk), fdf AS (SELECT token, count(*) AS df FROM own GROUP BY token),
+words AS (SELECT DISTINCT token, 1 + ln(((SELECT count(*) FROM fk) + 1) / (coalesce(df, 0) + 1)::DOUBLE) AS idf FROM qt LEFT JOIN fdf USING (token)),
+fhit AS (SELECT token, source, max(part) AS part FROM (SELECT token, source, 2.0 * idf AS part FROM words JOIN own USING (token) UNION ALL
+  SELECT token, source, 1.2 * idf FROM words, fk WHERE length(token) >= 3 AND (contains(norm, token) OR contains(replace(norm, ' ', ''), token))) GROUP BY ALL),
+fscore AS (SELECT query_id, source, round(sum(part) * CASE WHEN count(*) >= 2 THEN 1.15 ELSE 1 END, 6) AS score FROM qt JOIN fhit USING (token) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(score) OVER w, 0) AS second FROM fscore WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, source)),
+routed AS (SELECT query_id, source AS routed FROM fr WHERE rn = 1 AND score >= 2.8 AND NOT (second > 0 AND score - second < 1.2 AND second >= 0.8 * 2.8)),
+named AS (SELECT paper_ref, coalesce(min_by(source, idx) FILTER (contains(lower(source), lower(paper_ref)) OR contains(lower(title), lower(paper_ref))), min_by(source, idx) FILTER (contains(archive_id, lower(paper_ref)))) AS named FROM (SELECT DISTINCT paper_ref FROM refs WHERE paper_ref IS NOT NULL), files GROUP BY paper_ref),
+asked AS (SELECT r.*, coalesce(routed, named) AS want, paper_ref IS NOT NULL OR section_ref IS NOT NULL AS narrowed FROM refs r LEFT JOIN routed USING (query_id) LEFT JOIN named USING (paper_ref)),
+tiered AS (SELECT query_id, chunk_id, CASE WHEN table_ref IS NOT NULL THEN CASE WHEN is_table AND table_id = table_ref THEN CASE WHEN want IS NULL OR want = source THEN 0 ELSE 1 END END
+  WHEN want IS NOT NULL THEN CASE WHEN want = source THEN CASE WHEN starts_with(section_id, section_ref) THEN 2 ELSE 3 END END WHEN section_ref IS NOT NULL AND starts_with(section_id, section_ref) THEN 4 END AS tier FROM asked, c),
+pairs AS (SELECT query_id, chunk_id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM tiered WHERE tier IS NOT NULL) WHERE tier = best),
+allowed AS (FROM pairs UNION ALL SELECT query_id, chunk_id, 5 FROM asked, c WHERE table_ref IS NULL AND want IS NULL AND query_id NOT IN (SELECT query_id FROM pairs)),
+ex AS (SELECT query_id, text, narrowed, list_slice({_EXP_SQL}, 1, 4) AS e FROM asked),
+vall AS (SELECT query_id, 0 AS pos, trim(text) AS text FROM asked UNION ALL SELECT query_id, pos, trim(text) FROM (SELECT query_id, generate_subscripts(e, 1) AS pos, unnest(e) AS text FROM ex WHERE NOT narrowed) WHERE len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 3),
+v AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS pos, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY pos) AS n FROM vall) WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 5),
+d AS (SELECT chunk_id, {_TOKENS} AS tokens FROM c),
+t AS (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM d),
+stats AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avgdl FROM d),
+tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM df, stats),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
+qterm AS (SELECT query_id, pos, term, count(*) AS qtf FROM (SELECT query_id, pos, unnest({_TOKENS}) AS term FROM v) GROUP BY ALL),
+lex AS (SELECT query_id, pos, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qterm JOIN tf USING (term) JOIN idf USING (term), stats GROUP BY ALL),
+near AS (SELECT item_id AS query_id, e.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e),
+chan AS (SELECT query_id, pos, chunk_id, score, 'b' AS ch FROM lex JOIN allowed USING (query_id, chunk_id) WHERE round(score, 6) <> 0 UNION ALL SELECT query_id, pos, chunk_id, score, 'v' FROM near JOIN allowed USING (query_id, chunk_id) JOIN v USING (query_id)),
+top AS (SELECT * FROM chan QUALIFY row_number() OVER (PARTITION BY ch, query_id, pos ORDER BY round(score, 6) DESC, chunk_id) <= 30),
+best AS (SELECT query_id, chunk_id, ch, max(round(score * ({_BOOST_OF}), 6)) AS score FROM (SELECT top.*, coalesce(section_title, '') AS title, v.text, intent FROM top JOIN c USING (chunk_id) JOIN v USING (query_id, pos) JOIN asked USING (query_id)) GROUP BY ALL),
+merged AS (SELECT query_id, chunk_id, greatest(coalesce(max(score) FILTER (ch = 'v'), 0), 0) AS v, greatest(coalesce(max(score) FILTER (ch = 'b'), 0), 0) AS b FROM best GROUP BY ALL),
+fused AS (SELECT query_id, chunk_id, round(0.6 * CASE WHEN max(v) OVER w = min(v) OVER w THEN 1.0 ELSE (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) END + 0.4 * CASE WHEN max(b) OVER w = min(b) OVER w THEN 1.0 ELSE (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) END, 4) AS score FROM merged WINDOW w AS (PARTITION BY query_id)),
+listed AS (SELECT source, section_id FROM c WHERE section_id <> '' GROUP BY ALL HAVING count(*) >= 3 OR {_any("coalesce(min_by(section_title, idx), '')", routing.LIST_WORDS)}),
+sib AS (SELECT DISTINCT f.query_id, s.chunk_id, 0.0 AS score FROM fused f JOIN asked a USING (query_id) JOIN c h USING (chunk_id) JOIN listed l ON l.source = h.source AND l.section_id = h.section_id JOIN c s ON s.source = h.source AND s.section_id = h.section_id WHERE a.intent IN ('dataset', 'experiment', 'config') AND a.table_ref IS NULL),
+told AS (SELECT query_id, chunk_id, max(score) AS score, any_value(text) AS text, any_value(idx) AS idx FROM (FROM fused UNION ALL FROM sib) JOIN c USING (chunk_id) WHERE trim(text) <> '' GROUP BY query_id, chunk_id),
+once AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY query_id, left(text, 500) ORDER BY score DESC, idx) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM once)"""
+
+
+@query("rag_retrieval", f"""WITH {_RAG_SQL} SELECT query_id, chunk_id, score::DOUBLE AS score, rank, coalesce(tier, 5)::BIGINT AS tier FROM ranked JOIN asked USING (query_id) LEFT JOIN (SELECT DISTINCT query_id, tier FROM pairs) USING (query_id) WHERE rank <= CASE WHEN table_ref IS NULL THEN 10 ELSE 1 END""")
+def rag_retrieval(spark, sf_dir):
+    """References, routing, tiers, rewrites, boost before the maximum, fusion, bundling: ten sources a question."""
+    return _retrieved(spark, sf_dir)
+
+
+@query("rag_reranked")
+def rag_reranked(spark, sf_dir):
+    """The same with the offline listwise ranker over each pool."""
+    return _retrieved(spark, sf_dir, ranker=quality.overlap_ranker)
+
+
+@query("vector_fallback", f"""WITH {_VECTOR}, ok AS (SELECT * FROM vec WHERE chunk_id IN (SELECT doc_id FROM documents WHERE trim(text) <> ''))
+SELECT query_id, chunk_id, round(score, 4) AS score, round(score, 4) AS vector_score, 0.0::DOUBLE AS bm25_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM ok) WHERE rank <= 10""")
+def vector_fallback(spark, sf_dir):
+    return retrieval.vector_fallback(_corpus(spark, sf_dir), _chunks(spark, sf_dir), _query_vectors(spark, sf_dir))
+
+
+
 # --- tables, figures, positions ---------------------------------------------------------------------
 
 

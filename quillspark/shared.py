@@ -45,7 +45,7 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, by: str, how: str = "inner", least: int = 2_000) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, by: str, how: str = "inner", least: int = 256) -> DataFrame:
     """Join ``rows`` with ``table``, which has one row for a key, without a hot task.
 
     ``table`` has in column ``n`` how many rows have the key (or an upper estimate). A key with more than
@@ -53,13 +53,24 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, by: str,
     hash of column ``by``, its row of the table once to each. The list of such keys is what is
     broadcast: by their definition there are at most ``MOST_HOT``.
     """
-    total = table.agg(F.sum(n)).first()[0] or 0
-    limit = max(least, -(-total // MOST_HOT))
-    hot = table.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_parts"))
-    if hot.isEmpty():
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    limit = max(least, -(-(total or 0) // MOST_HOT))
+    if (most or 0) <= limit:
         return rows.join(table, keys, how)
+    hot = table.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
     some = F.broadcast(hot)
     left = rows.join(some, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     right = table.join(some, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, small: int = 128 << 20) -> DataFrame:
+    """Deal out the rows of a small table that lies in fewer files than there are cores; any other table stays as it is.
+
+    A file below ``small`` bytes is mostly one row group, so one task would read it all.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < small and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
