@@ -52,10 +52,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .cotrain import classify, train
+    from .common import written
+    from .cotrain import features, fit, scores
 
-    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, train(docs, labels)).withColumnRenamed("id", "doc_id")
+    feats = written(features(_documents(spark, sf_dir)), "features")
+    return scores(feats, fit(feats, spark.read.parquet(f"{sf_dir}/labels.parquet"))).withColumnRenamed("id", "doc_id")
 
 
 def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
