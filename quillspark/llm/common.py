@@ -50,10 +50,16 @@ def text_key(text_col: Column) -> tuple[Column, Column]:
     return F.xxhash64(text_col), F.xxhash64(F.lit("~"), text_col, F.lit("#"))
 
 
+def lean() -> None:
+    """Arrow memory of a worker goes back to the system when it is freed; a pool of its own would keep what the largest batch took."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def map_arrow(df: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` whose state is made by ``start()`` once per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         step = start()
         for batch in batches:
             if batch.num_rows:

@@ -3,39 +3,47 @@
 A window is ``window`` consecutive words of one document. A word goes when some window over it
 starts elsewhere too, in any document. The suffixes that matter are found and grouped so:
 
-1. Sampling. Windows that repeat within one document are found there, and the first of them stands
+1. Sampling. Windows that repeat within one document are found there, by sorting its windows, and the first of them stands
    for all. Every window has ``window - gram + 1`` grams; the grams with the least hash are its
    anchors. Equal windows have equal anchors at equal places, so it suffices to compare
-   suffixes that start at anchors (about a fourteenth of all positions).
+   suffixes that start at anchors (about a tenth of all positions).
 2. Prefixes. Suffixes are split by their prefix, the anchor gram. A prefix that occurs once
-   has no repeat and is dropped by a count with map-side sums. A prefix that occurs more often than ``group_limit`` is
-   lengthened to the whole window: then a group is a single leaf, and a sum tells whether it repeats.
-3. Subtrees. Each remaining group is small. Its suffixes, cut to the window, are sorted; the
+   has no repeat and is dropped by a count with map-side sums.
+3. Longer prefixes. A group of more than ``group_limit`` suffixes is split again. All windows that start between x and y words
+   before the anchor share the words from x before it up to y words short of a window after it; the nearer x
+   and y, the longer these are. So a large group is dealt out by ranges of starts, each with its longer
+   common words as prefix: ranges of ``steps`` starts, one step after another, until a group fits. At the
+   last step (one start) the prefix is the whole window, the group a single leaf, and its count decides.
+4. Subtrees. Each group that fits is small. Its suffixes, cut to the window, are sorted; the
    lengths of common prefixes of neighbours are the inner nodes of the group's suffix tree. The
    text left of each anchor gives a second tree. A pair of nodes whose depths sum up to the window is a
    maximal repeat of that length or more; all windows below a pair with two leaves repeat.
 
 The windows found are gathered by document and the words under them are removed. Texts are
-shuffled once (both joins share the exchange); all other rows are fixed-size numbers.
+shuffled once (both joins share the exchange).
 
-Places are sampled by 64-bit hashes. Around an anchor words are compared one by one by 32-bit
-hashes, so two windows that differ in one word are taken for equal with probability 2**-32.
+Hashes only bring suffixes together. Whether windows are equal is decided by their words: trees compare the words
+themselves, repeats inside a document are compared word by word, and a leaf is named by 128 bits of the SHA-256
+of its words, as is a single word of more than 128 bytes inside a tree.
 
 Defined cases: null text has no word; texts shorter than a window keep all words; equal rows
-repeat each other, so all their windows go; null ids are a value like others; an empty table
-gives no row; other columns are not looked at.
+repeat each other, so all their windows go; null ids are a value like others; very long texts take memory in
+proportion to their own length; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import as_bytes, column, map_arrow, pick, portions, row_key, whole_text, written
+from .common import as_bytes, column, lean, lookup, map_arrow, pick, portions, row_key, whole_text, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
 
@@ -79,19 +87,43 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return _slide(words, window, pair)
 
 
-def _again(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of the places whose hash stands earlier too, and of those whose hash stands twice or more."""
+def word_numbers(words: list[bytes]) -> np.ndarray:
+    """A number per word, the same for equal words only."""
+    return pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy()
+
+
+def repeats(hashes: np.ndarray, words: list[bytes], window: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the places whose window stands earlier too in the same text, and of those whose window stands twice or more there.
+
+    ``hashes`` (equal for equal windows of one text) bring candidates together; words and ``owner``, the text's number, decide.
+    """
+    later, twice = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=bool)
     order = np.argsort(hashes, kind="stable")
     same = hashes[order[1:]] == hashes[order[:-1]]
-    later, twice = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=bool)
-    later[order[1:][same]] = True
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    if same.any():
+        a, b = order[:-1][same], order[1:][same]
+        numbers = word_numbers(words)
+        equal = owner[a] == owner[b]
+        for k in range(window):
+            equal &= numbers[a + k] == numbers[b + k]
+        if not equal.all():  # different windows of one hash: the window itself is the key
+            seen: dict[tuple[int, bytes], int] = {}  # by text and words
+            a, b, equal = [], [], True
+            for at in np.unique(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]).tolist():
+                key = (int(owner[at]), numbers[at : at + window].tobytes())
+                if key in seen:
+                    a.append(seen[key])
+                    b.append(at)
+                seen[key] = at
+            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        later[b[equal]] = True
+        twice[b[equal]] = True
+        twice[a[equal]] = True
     return later, twice
 
 
-def anchors(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors in several documents' words one after another.
+def anchors(words: np.ndarray, ends: np.ndarray, plain: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors in several documents' words (``plain``, and by hash) one after another.
 
     ``ends`` has the end of its document for each word. A place is an anchor if its gram has
     the least hash of some window; all places with that hash count, so the choice depends on
@@ -103,21 +135,23 @@ def anchors(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tupl
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     grams = gram_hashes(words, gram)
     least = _slide(grams, width, np.minimum)  # of the window that starts here
-    least[np.arange(len(least)) + window > ends[: len(least)]] = 0  # no window of one document
+    outside = np.arange(len(least)) + window > ends[: len(least)]  # no window of one document
+    least[outside] = 0
     own = (ends[: len(least)].astype(np.uint64) * _MIX) ^ window_hashes(words, window)
-    least[_again(own)[0]] = 0
+    own[outside] = np.flatnonzero(outside).astype(np.uint64)  # meets nothing
+    least[repeats(own, plain, window, ends)[0]] = 0
     pad = np.zeros(width - 1, dtype=np.uint64)
     cover = _slide(np.concatenate([pad, least, pad]), width, np.maximum)
     at = np.flatnonzero((cover == grams) & (cover != 0))
     return at, grams[at]
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of several texts one after another; for each word its text's number, start and end."""
+def _joined(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of several texts one after another; for each its text's number, start and end."""
     split = [t.split() for t in texts]
     sizes = np.array([len(w) for w in split])
     ends = np.cumsum(sizes)
-    return word_hashes([w for s in split for w in s]), np.repeat(np.arange(len(texts)), sizes), np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+    return [w for s in split for w in s], np.repeat(np.arange(len(texts)), sizes), np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
@@ -136,7 +170,7 @@ def sampled_suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
             k1, k2 = (column(batch, c).to_numpy() for c in ("k1", "k2"))
             for lo, hi in portions(texts, 256):
                 words, text_of, first, ends = _joined(texts[lo:hi])
-                at, h = anchors(words, ends, window, gram)
+                at, h = anchors(word_hashes(words), ends, words, window, gram)
                 owners = lo + text_of[at]
                 yield pa.RecordBatch.from_arrays([pa.array(k1[owners]), pa.array(k2[owners]), pa.array((at - first[at]).astype(np.int32)), pa.array(h.view(np.int64))], names=["k1", "k2", "pos", "h"])
 
@@ -145,12 +179,28 @@ def sampled_suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return map_arrow(rows.select("k1", "k2", "text"), "k1 long, k2 long, pos int, h long", start)
 
 
-def _contexts(words: np.ndarray, pos: np.ndarray, left: int, window: int) -> np.ndarray:
-    """Words from ``left`` before to ``window`` after each place of one document, by short hashes; 0 outside it."""
-    short = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    short[short == 0] = 1
-    padded = np.concatenate([np.zeros(left, dtype=np.uint32), short, np.zeros(window, dtype=np.uint32)])
-    return padded[pos[:, None] + np.arange(left + window)]
+def short_words(words: list[bytes], most: int = 128) -> list[bytes]:
+    """Words with long ones replaced by a mark and their SHA-256; a word that begins with the mark is replaced too."""
+    return [w if len(w) <= most and w[:1] != b"\x01" else b"\x01" + hashlib.sha256(w).hexdigest().encode() for w in words]
+
+
+def contexts(words: list[bytes], places: list[int], left: int, window: int) -> list[bytes]:
+    """Words from ``left`` before to ``window`` after each place of one document, with a space between; empty outside it."""
+    padded = [b""] * left + short_words(words) + [b""] * window
+    return [b" ".join(padded[p : p + left + window]) for p in places]
+
+
+def context_numbers(ctx: pa.Array, width: int) -> np.ndarray:
+    """A row of numbers for each context, equal for equal words only; 0 outside the document."""
+    words = pc.split_pattern(ctx.cast(pa.string()), " ").flatten()
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    coded = words.dictionary_encode()
+    numbers = coded.indices.to_numpy() + 1
+    outside = pc.index(coded.dictionary, "").as_py()
+    if outside >= 0:
+        numbers = np.where(numbers == outside + 1, 0, numbers)
+    return numbers.astype(np.uint32).reshape(-1, width)
 
 
 def candidate_suffixes(joined: DataFrame, window: int, gram: int) -> DataFrame:
@@ -159,41 +209,32 @@ def candidate_suffixes(joined: DataFrame, window: int, gram: int) -> DataFrame:
     ``joined`` has ``text`` and ``places``, an array of (pos, h, n).
     """
     left = window - gram
+    names = ["h", "n", "k1", "k2", "pos", "ctx"]
 
     def start():
         def step(batch: pa.RecordBatch):
             k1, k2 = (column(batch, c).to_numpy() for c in ("k1", "k2"))
             texts, places = column(batch, "text"), column(batch, "places")
+            held, rows = [], 0
             for i in range(batch.num_rows):
                 at = places[i].values
-                pos, h, n = (at.field(k).to_numpy() for k in (0, 1, 2))
-                words = word_hashes(texts[i].as_py().encode().split())
+                pos, h, n = (at.field(k) for k in (0, 1, 2))
+                words = texts[i].as_py().encode().split()
                 for lo in range(0, len(pos), 4096):
-                    part = slice(lo, lo + 4096)
-                    ctx = _contexts(words, pos[part].astype(np.int64), left, window)
-                    m = len(ctx)
-                    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ctx.shape[1]), m, [None, pa.py_buffer(np.ascontiguousarray(ctx))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(n[part]), pa.array(np.full(m, k1[i])), pa.array(np.full(m, k2[i])), pa.array(pos[part]), data], names=["h", "n", "k1", "k2", "pos", "ctx"])
-
-        return step
-
-    def merged():
-        inner = start()
-
-        def step(batch: pa.RecordBatch):
-            held, rows = [], 0
-            for out in inner(batch):
-                held.append(out)
-                rows += out.num_rows
-                if rows >= 4096:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held, rows = [], 0
+                    part = pos.slice(lo, 4096)
+                    m = len(part)
+                    ctx = pa.array(contexts(words, part.to_pylist(), left, window), pa.binary())
+                    held.append(pa.RecordBatch.from_arrays([h.slice(lo, m), n.slice(lo, m), pa.array(np.full(m, k1[i])), pa.array(np.full(m, k2[i])), part, ctx], names=names))
+                    rows += m
+                    if rows >= 4096:
+                        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                        held, rows = [], 0
             if rows:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
         return step
 
-    return map_arrow(joined, "h long, n long, k1 long, k2 long, pos int, ctx binary", merged)
+    return map_arrow(joined, "h long, n long, k1 long, k2 long, pos int, ctx binary", start)
 
 
 def _depths(rows: np.ndarray) -> np.ndarray:
@@ -221,8 +262,8 @@ class Subtree:
         return out
 
 
-def repeated_starts(h: np.ndarray, ctx: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Per suffix a bit for each o: the window that starts o words before the anchor repeats.
+def repeated_starts(h: np.ndarray, ctx: np.ndarray, window: int, gram: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Per suffix a bit for each o from its ``lo`` to ``hi``: the window that starts o words before the anchor repeats.
 
     ``h`` are whole groups, one row per occurrence.
     """
@@ -233,8 +274,8 @@ def repeated_starts(h: np.ndarray, ctx: np.ndarray, window: int, gram: int) -> n
     outside_left = np.cumsum(ctx[:, :left][:, ::-1] == 0, axis=1) > 0
     outside_right = np.cumsum(ctx[:, left:] == 0, axis=1) > 0
     bits = np.zeros(len(h), dtype=np.int64)
-    for o in range(left + 1):
-        sound = ~outside_right[:, window - o - 1]
+    for o in range(int(lo.min()), int(hi.max()) + 1):
+        sound = ~outside_right[:, window - o - 1] & (lo <= o) & (o <= hi)
         if o:
             sound &= ~outside_left[:, o - 1]
         pair = right.node(window - o + 1) * (len(h) + 1) + back.node(o + 1)
@@ -244,19 +285,20 @@ def repeated_starts(h: np.ndarray, ctx: np.ndarray, window: int, gram: int) -> n
     return bits
 
 
-def subtree_repeats(suffixes: DataFrame, window: int, gram: int, batch_rows: int = 20_000) -> DataFrame:
-    """``k1, k2, pos, bits`` of the suffixes with a repeated window; groups are whole in a partition and sorted."""
+def subtree_repeats(suffixes: DataFrame, window: int, gram: int, batch_rows: int = 8_000) -> DataFrame:
+    """``k1, k2, pos, bits`` of the suffixes with a repeated window; groups (``h``) are whole in a partition and sorted."""
     width = 2 * window - gram
 
     def run(batches):
+        lean()
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def solve(parts: list[pa.RecordBatch]):
             table = pa.Table.from_batches(parts).combine_chunks()
-            h = table.column("h").to_numpy()
-            ctx = np.frombuffer(b"".join(table.column("ctx").to_pylist()), dtype=np.uint32).reshape(-1, width)
-            bits = repeated_starts(h, ctx, window, gram)
+            h, lo, hi = (table.column(c).to_numpy() for c in ("h", "lo", "hi"))
+            ctx = context_numbers(table.column("ctx").chunk(0), width)
+            bits = repeated_starts(h, ctx, window, gram, lo, hi)
             hit = pa.array(bits != 0)
             out = pa.table({"k1": table.column("k1"), "k2": table.column("k2"), "pos": table.column("pos"), "bits": pa.array(bits)}).filter(hit)
             yield from out.to_batches()
@@ -276,41 +318,100 @@ def subtree_repeats(suffixes: DataFrame, window: int, gram: int, batch_rows: int
     return suffixes.mapInArrow(run, "k1 long, k2 long, pos int, bits long")
 
 
-def _leaf_windows(suffixes: DataFrame, window: int, gram: int) -> DataFrame:
-    """The windows over each anchor by two hashes of all their words: ``k1, k2, start, w1, w2``."""
+def longer_prefixes(suffixes: DataFrame, window: int, gram: int, size: int) -> DataFrame:
+    """Suffixes of large groups again, once for each range of at most ``size`` starts between ``lo`` and ``hi``: ``h, lo, hi, k1, k2, pos, ctx``.
+
+    ``h`` is the hash of the range and of the words that its windows share; a suffix none of whose windows of
+    a range lies in the document has no row for it.
+    """
+    left = window - gram
+    names = ["h", "lo", "hi", "k1", "k2", "pos", "ctx"]
+
+    def start():
+        def step(batch: pa.RecordBatch):
+            ctx = column(batch, "ctx").to_pylist()
+            split = [c.split(b" ") for c in ctx]
+            lo, hi = (column(batch, c).to_numpy() for c in ("lo", "hi"))
+            at, out = [], []
+            for i, words in enumerate(split):
+                for x in range(int(lo[i]), int(hi[i]) + 1, size):
+                    y = min(x + size - 1, int(hi[i]))
+                    core = words[left - x : left + window - y]
+                    if b"" not in core:
+                        at.append(i)
+                        out.append((xxhash.xxh64_intdigest(b"%d %d " % (x, y) + b" ".join(core)) - (1 << 63), x, y))
+            if at:
+                places = pa.array(at, pa.int64())
+                h, x, y = zip(*out)
+                rest = [column(batch, c).take(places) for c in ("k1", "k2", "pos", "ctx")]
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), *rest], names=names)
+
+        return step
+
+    return map_arrow(suffixes.select("lo", "hi", "k1", "k2", "pos", "ctx"), "h long, lo int, hi int, k1 long, k2 long, pos int, ctx binary", start)
+
+
+def leaves(suffixes: DataFrame, window: int, gram: int) -> DataFrame:
+    """The windows over suffixes of large groups, each named by its start and the SHA-256 of its words: ``w, k1, k2, pos, bits``."""
     left = window - gram
 
     def start():
         def step(batch: pa.RecordBatch):
-            k1, k2, pos = (column(batch, c).to_numpy() for c in ("k1", "k2", "pos"))
-            ctx = np.frombuffer(b"".join(column(batch, "ctx").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
-            for o in range(left + 1):
-                part = ctx[:, left - o : left - o + window]
-                sound = np.flatnonzero((part != 0).all(axis=1))
-                if len(sound):
-                    keys = [xxhash.xxh128_digest(np.ascontiguousarray(part[i])) for i in sound]
-                    w = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[sound]), pa.array(k2[sound]), pa.array((pos[sound] - o).astype(np.int32)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], names=["k1", "k2", "start", "w1", "w2"])
+            lo, hi = (column(batch, c).to_numpy() for c in ("lo", "hi"))
+            at, name, bits = [], [], []
+            for i, c in enumerate(column(batch, "ctx").to_pylist()):
+                words = c.split(b" ")
+                for o in range(int(lo[i]), int(hi[i]) + 1):
+                    part = words[left - o : left - o + window]
+                    if b"" not in part:
+                        at.append(i)
+                        name.append(hashlib.sha256(b"%d " % o + b" ".join(part)).digest()[:16])
+                        bits.append(1 << o)
+            if at:
+                places = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.binary()), *(column(batch, c).take(places) for c in ("k1", "k2", "pos")), pa.array(bits, pa.int64())], names=["w", "k1", "k2", "pos", "bits"])
 
         return step
 
-    return map_arrow(suffixes, "k1 long, k2 long, start int, w1 long, w2 long", start)
+    return map_arrow(suffixes.select("lo", "hi", "k1", "k2", "pos", "ctx"), "w binary, k1 long, k2 long, pos int, bits long", start)
+
+
+def solved(suffixes: DataFrame, large: DataFrame | None, window: int, gram: int, group_limit: int, steps: tuple[int, ...]) -> DataFrame:
+    """``k1, k2, pos, bits`` of all repeated windows; ``suffixes`` of groups that fit and of ``large`` ones have ``h, k1, k2, pos, ctx``."""
+
+    def trees(groups: DataFrame) -> DataFrame:
+        return subtree_repeats(groups.repartition("h").sortWithinPartitions("h"), window, gram)
+
+    whole = {"lo": F.lit(0), "hi": F.lit(window - gram)}
+    found = trees(suffixes.withColumns(whole))
+    if large is None:
+        return found
+    large = large.withColumns(whole)
+    for size in steps:
+        longer = written(longer_prefixes(large, window, gram, size), "longer")
+        counts = written(longer.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        met = lookup(longer, counts, ["h"], "n", "k1")
+        found = found.unionByName(trees(met.where(F.col("n") <= group_limit).drop("n")))
+        large = met.where(F.col("n") > group_limit)
+    named = written(leaves(large, window, gram), "leaves")
+    counts = written(named.groupBy("w").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    return found.unionByName(lookup(named, counts, ["w"], "m", "k1").select("k1", "k2", "pos", "bits"))
 
 
 def _strip(joined: DataFrame, carry: list, window: int, gram: int) -> DataFrame:
-    """``id, n_words, n_removed, kept`` and carried columns of rows with ``text``, ``bits`` (array of (pos, bits)) and ``starts``."""
+    """``id, n_words, n_removed, kept`` and carried columns of rows with ``text`` and ``bits`` (array of (pos, bits))."""
     names = ["id", *[f.name for f in carry]]
-    joined = joined.select(*names, "text", "bits", "starts")
+    joined = joined.select(*names, "text", "bits")
 
     def start():
         def step(batch: pa.RecordBatch):
-            texts, bits, starts = as_bytes(batch, "text"), column(batch, "bits"), column(batch, "starts")
+            texts, bits = as_bytes(batch, "text"), column(batch, "bits")
             total, gone, kept = [], [], []
             for i, text in enumerate(texts):
                 words = text.split()
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 if len(words) > window:
-                    at = np.flatnonzero(_again(window_hashes(word_hashes(words), window))[1])
+                    at = np.flatnonzero(repeats(window_hashes(word_hashes(words), window), words, window, np.zeros(len(words)))[1])
                     edge[at] += 1
                     edge[at + window] -= 1
                 if bits[i].is_valid:
@@ -319,10 +420,6 @@ def _strip(joined: DataFrame, carry: list, window: int, gram: int) -> DataFrame:
                         at = pos[(mask >> o) & 1 == 1] - o
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + window, -1)
-                if starts[i].is_valid:
-                    at = starts[i].values.to_numpy().astype(np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 n = int(covered.sum())
                 total.append(len(words))
@@ -337,37 +434,25 @@ def _strip(joined: DataFrame, carry: list, window: int, gram: int) -> DataFrame:
     return map_arrow(joined, schema, start)
 
 
-def strip_repeats(df: DataFrame, window: int = 35, gram: int = 8, group_limit: int = 50_000, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def strip_repeats(df: DataFrame, window: int = 35, gram: int = 16, group_limit: int = 50_000, steps: tuple[int, ...] = (10,), id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``id, n_words, n_removed, kept`` (the kept words, joined by a space) and the columns named in ``carry``, as ``carry0`` and so on."""
     if not 1 <= gram <= window or window - gram > 62:
         raise ValueError("a gram is at most a window, and a window at most 62 words longer")
     rows = _keyed(df, id_col, text_col, carry or [])
     sampled = written(sampled_suffixes(rows, window, gram), "suffixes")
-    repeated = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = written(sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
     places = (
-        sampled.join(repeated, "h")
+        lookup(sampled, repeated, ["h"], "n", "k1")
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("pos", "h", "n")).alias("places"))  # equal rows give the same places once
     )
     places = written(places, "places")
-    suffixes = candidate_suffixes(rows.join(places, ["k1", "k2"]), window, gram)
-    grouped = suffixes.where(F.col("n") <= group_limit).repartition("h").sortWithinPartitions("h")
-    found = subtree_repeats(grouped, window, gram).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "bits")).alias("bits"))
-    joined = rows.join(found, ["k1", "k2"], "left")
-    most = repeated.where(F.col("n") > group_limit)
-    if most.isEmpty():
-        joined = joined.withColumn("starts", F.lit(None).cast("array<int>"))
-    else:
-        leaves = _leaf_windows(suffixes.where(F.col("n") > group_limit).select("k1", "k2", "pos", "ctx"), window, gram)
-        # Anchors with equal hashes lie in the same window: a window counts once per occurrence of its row.
-        again = _row_counts(rows)
-        leaves = written(leaves.distinct(), "leaves")
-        twice = leaves.join(again, ["k1", "k2"], "left").groupBy("w1", "w2").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n")).where("n > 1").select("w1", "w2")
-        starts = leaves.join(twice, ["w1", "w2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
-        joined = joined.join(starts, ["k1", "k2"], "left")
-    return _strip(joined, [f for f in rows.schema.fields if f.name.startswith("carry")], window, gram)
 
+    def around(which: str) -> DataFrame:
+        some = places.withColumn("places", F.filter("places", lambda p: (p["n"] > group_limit) == (which == "large")))
+        return candidate_suffixes(rows.join(some.where(F.size("places") > 0), ["k1", "k2"]), window, gram).drop("n")
 
-def _row_counts(rows: DataFrame) -> DataFrame:
-    """How often an equal row stands in the table, where more than once."""
-    return rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
+    large = None if repeated.where(F.col("n") > group_limit).isEmpty() else around("large")
+    found = solved(around("small"), large, window, gram, group_limit, steps).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "bits")).alias("bits"))
+    joined = rows.join(found, ["k1", "k2"], "left")
+    return _strip(joined, [f for f in rows.schema.fields if f.name.startswith("carry")], window, gram)
