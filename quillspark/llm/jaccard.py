@@ -8,21 +8,24 @@ Jaccard similarity of at least ``threshold``:
 2. Pruning. In a bucket, signatures are compared in steps. After each step the posterior
    probability (uniform prior) that a pair reaches the threshold is looked up by the number of equal values; below
    ``tolerance`` the pair is dropped. A bucket's surviving pairs are not listed: a breadth-first
-   walk emits the edges of a spanning forest, at most one per member.
+   walk emits the edges of a spanning forest, at most one per member. A bucket of more than ``crowd`` members is no
+   single group: all members meet its head (the least of them) in as many tasks as needed, and only those that the
+   pruning parts from the head meet all others, in tiles of ``crowd`` by ``crowd``.
 3. Verification. Components of that forest hold all surviving pairs. Within a component the
    shingle sets are multiplied block by block, which gives the exact intersection of every pair; links are counted per
    text, and again only a spanning forest of exact links leaves the block. Large
-   components are split into blocks of ``block`` texts and a thousand times as many shingles; every
+   components are split into blocks of ``block`` texts and 500 times as many shingles; every
    pair of blocks is dealt out on its own.
 4. Classes are the components of the exact links.
 
-So no pair is lost beyond the stated tolerance, and no table grows with the square of a group;
-only the arithmetic inside a component does.
+So no pair is lost beyond the stated tolerance, and no table lists pairs. Counting the links of a component of n different
+texts is n * n / 2 intersections, and each text is sent to n / ``block`` pairs of blocks: of these
+copies there are n * n / ``block``.
 
 Defined cases: null text is the empty text; a text of fewer words than a shingle is one shingle
 of all its words; texts without words are linked to nothing but equal texts; equal rows share
-a class; a class's id is its least document id, null ids aside; an empty table gives no row;
-other columns are not looked at.
+a class; a class's id is its least document id, null ids aside; a very long text takes memory in
+proportion to its shingles; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, map_arrow, pick, portions, text_key, whole_text, written
+from .common import as_bytes, column, lookup, map_arrow, pick, portions, text_key, whole_text, written
 from .components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,57 +134,78 @@ def surviving_forest(signatures: np.ndarray, limits: list[tuple[int, int]]) -> l
     return edges
 
 
-def exact_links(rows: list[np.ndarray], cols: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with Jaccard similarity >= threshold, of ``rows`` with ``cols``, or among ``rows`` (i < j)."""
+def link_matrix(rows: list[np.ndarray], cols: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Whether the Jaccard similarity is >= threshold, of ``rows`` with ``cols``, or of each two of ``rows`` (false for one with itself)."""
     sets = rows + (cols or [])
-    sizes = np.array([len(s) for s in sets], dtype=np.float32)
-    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes.astype(np.int64))
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     new = np.concatenate([[True], values[1:] != values[:-1]])
     which = np.cumsum(new) - 1
-    count = np.bincount(which)
     # A shingle of one text adds nothing to any intersection.
-    shared = count[which] > 1
+    shared = np.bincount(which)[which] > 1
     which, owner = which[shared], owner[shared]
-    if not len(which):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    _, which = np.unique(which, return_inverse=True)
-    n, r = int(which.max()) + 1, len(rows)
-    both = np.zeros((r, len(sets) - r if cols is not None else r), dtype=np.float32)
-    for lo in range(0, n, 2048):  # columns in slices keep the matrices small
-        part = (which >= lo) & (which < lo + 2048)
-        matrix = np.zeros((len(sets), min(2048, n - lo)), dtype=np.float32)
-        matrix[owner[part], which[part] - lo] = 1
-        both += matrix[:r] @ (matrix[r:] if cols is not None else matrix).T
+    r, c = len(rows), len(rows) if cols is None else len(cols)
+    both = np.zeros((r, c), dtype=np.float32)
+    if len(which):
+        which = np.cumsum(np.concatenate([[True], which[1:] != which[:-1]])) - 1  # still by shingle
+        n = int(which[-1]) + 1
+        for lo in range(0, n, 512):  # columns in slices keep the matrices small
+            a, b = np.searchsorted(which, (lo, lo + 512))
+            matrix = np.zeros((len(sets), min(512, n - lo)), dtype=np.float32)
+            matrix[owner[a:b], which[a:b] - lo] = 1
+            both += matrix[:r] @ (matrix[r:] if cols is not None else matrix).T
     right = sizes[r:] if cols is not None else sizes
-    union = sizes[:r, None] + right[None, :] - both
-    # both / union >= threshold without the rounding of a quotient
-    i, j = np.nonzero(both.astype(np.float64) >= threshold * union.astype(np.float64) - 1e-9)
+    out = np.zeros((r, c), dtype=bool)
+    for lo in range(0, r, 256):
+        part = both[lo : lo + 256].astype(np.float64)
+        # both / union >= threshold without the rounding of a quotient
+        out[lo : lo + 256] = part >= threshold * (sizes[lo : lo + len(part), None] + right[None, :] - part) - 1e-9
     if cols is None:
-        keep = i < j
-        i, j = i[keep], j[keep]
-    return i, j
+        np.fill_diagonal(out, False)
+    return out
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
-    """Places of the pairs (i, j) that join two parts, in order."""
-    parent = list(range(n))
+def exact_links(rows: list[np.ndarray], cols: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) with Jaccard similarity >= threshold, of ``rows`` with ``cols``, or among ``rows`` (i < j)."""
+    i, j = np.nonzero(link_matrix(rows, cols, threshold))
+    return (i, j) if cols is not None else (i[i < j], j[i < j])
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    kept = []
-    for at, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[b] = a
-            kept.append(at)
-    return kept
+def matrix_forest(links: np.ndarray, square: bool) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a link matrix. Nodes are its rows, and its columns after them unless it is ``square``."""
+    r, c = links.shape
+    edges: list[tuple[int, int]] = []
+    if square:
+        left = np.ones(r, dtype=bool)
+        for seed in range(r):
+            queue = [seed] if left[seed] else []
+            left[seed] = False
+            while queue:
+                at = queue.pop()
+                near = np.flatnonzero(links[at] & left)
+                left[near] = False
+                edges += [(at, int(x)) for x in near]
+                queue += near.tolist()
+        return edges
+    rows_left, cols_left, across = np.ones(r, dtype=bool), np.ones(c, dtype=bool), np.ascontiguousarray(links.T)
+    for seed in range(r):
+        queue = [seed] if rows_left[seed] else []
+        rows_left[seed] = False
+        while queue:
+            at = queue.pop()
+            if at < r:
+                near = np.flatnonzero(links[at] & cols_left)
+                cols_left[near] = False
+                near = near + r
+            else:
+                near = np.flatnonzero(across[at - r] & rows_left)
+                rows_left[near] = False
+            edges += [(at, int(x)) for x in near]
+            queue += near.tolist()
+    return edges
 
 
 def _signatures(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame:
@@ -260,6 +284,60 @@ def candidate_edges(members: DataFrame, limits: list[tuple[int, int]]) -> DataFr
     return members.mapInArrow(run, "a long, b long")
 
 
+def alive(mine: np.ndarray, other: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
+    """For each two rows of signatures whether pruning leaves the pair."""
+    keep, equal, start = np.arange(len(mine)), np.zeros(len(mine), dtype=np.int64), 0
+    for n, least in limits:
+        equal = equal + (mine[keep, start:n] == other[keep, start:n]).sum(axis=1)
+        good = equal >= least
+        keep, equal, start = keep[good], equal[good], n
+    out = np.zeros(len(mine), dtype=bool)
+    out[keep] = True
+    return out
+
+
+def crowded_edges(members: DataFrame, limits: list[tuple[int, int]], crowd: int) -> DataFrame:
+    """``a, b``: edges that connect what survives in buckets of any size; ``members`` has ``bucket, m, tid, sig``, ``m`` the bucket's size."""
+    heads = members.groupBy("bucket", "m").agg(F.min("tid").alias("head"), F.min_by("sig", "tid").alias("head_sig"))
+
+    def start():
+        def step(batch: pa.RecordBatch):
+            sig, head = (np.frombuffer(b"".join(column(batch, c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "head_sig"))
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("bucket", "m", "tid", "sig", "head")), pa.array(alive(sig, head, limits))], names=["bucket", "m", "tid", "sig", "head", "near"])
+
+        return step
+
+    met = lookup(members.drop("m"), heads, ["bucket"], "m", "tid")
+    met = written(map_arrow(met.select("bucket", "m", "tid", "sig", "head", "head_sig"), "bucket long, m long, tid long, sig binary, head long, near boolean", start), "crowds")
+    edges = met.where("near and tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
+    far = met.where("not near")
+    sizes = far.groupBy("bucket", "m").agg(F.count("*").alias("f"))
+    if sizes.isEmpty():
+        return edges
+    tiles = sizes.select("bucket", F.ceil(F.col("m") / crowd).alias("nj"), F.ceil(F.col("f") / crowd).alias("ni"), "m")
+    place = lambda n: F.pmod(F.xxhash64("tid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    strangers = lookup(far.select("bucket", "tid", "sig"), tiles, ["bucket"], "m", "tid").select("bucket", place("ni").alias("i"), every("nj").alias("j"), F.lit(True).alias("far"), "tid", "sig")
+    others = lookup(met.select("bucket", "tid", "sig"), tiles, ["bucket"], "m", "tid").select("bucket", every("ni").alias("i"), place("nj").alias("j"), F.lit(False).alias("far"), "tid", "sig")
+
+    def run(batches):
+        for parts in _groups(batches, ["bucket", "i", "j"]):
+            ids, is_far = np.array(_joined(parts, "tid"), dtype=np.int64), np.array(_joined(parts, "far"))
+            sigs = np.frombuffer(b"".join(_joined(parts, "sig")), dtype=np.uint8).reshape(len(ids), -1)
+            rows, cols = np.flatnonzero(is_far), np.flatnonzero(~is_far)
+            if not len(rows) or not len(cols):
+                continue
+            links = np.stack([alive(np.broadcast_to(sigs[x], (len(cols), sigs.shape[1])), sigs[cols], limits) & (ids[cols] != ids[x]) for x in rows])
+            found = matrix_forest(links, False)
+            name = np.concatenate([ids[rows], ids[cols]])
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["a", "b"])
+
+    dealt = strangers.unionByName(others).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return edges.unionByName(dealt.mapInArrow(run, "a long, b long"))
+
+
 def _sets(rows: DataFrame, k: int) -> DataFrame:
     def start():
         def step(batch: pa.RecordBatch):
@@ -288,18 +366,14 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
                 continue
             mine, i0, j0 = np.array(_joined(parts, "mine")), column(parts[0], "i")[0].as_py(), column(parts[0], "j")[0].as_py()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in _joined(parts, "shingles")]
-            if i0 == j0:
-                rows = cols = np.arange(len(ids))
-                i, j = exact_links(sets, None, threshold)
-            else:
-                rows, cols = np.flatnonzero(mine == i0), np.flatnonzero(mine == j0)
-                if not len(rows) or not len(cols):
-                    continue
-                i, j = exact_links([sets[x] for x in rows], [sets[x] for x in cols], threshold)
-            a, b = rows[i], cols[j]
-            links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-            out += [(int(ids[x]), None, int(links[x])) for x in np.flatnonzero(links)]
-            out += [(int(ids[a[x]]), int(ids[b[x]]), 0) for x in forest(a, b, len(ids))]
+            rows, cols = (np.arange(len(ids)), None) if i0 == j0 else (np.flatnonzero(mine == i0), np.flatnonzero(mine == j0))
+            if not len(rows) or cols is not None and not len(cols):
+                continue
+            matrix = link_matrix([sets[x] for x in rows], None if cols is None else [sets[x] for x in cols], threshold)
+            name = ids[rows] if cols is None else ids[np.concatenate([rows, cols])]
+            links = matrix.sum(axis=1) if cols is None else np.concatenate([matrix.sum(axis=1), matrix.sum(axis=0)])
+            out += [(int(name[x]), None, int(links[x])) for x in np.flatnonzero(links)]
+            out += [(int(name[a]), int(name[b]), 0) for a, b in matrix_forest(matrix, cols is None)]
             if len(out) >= 8192:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "n"])
                 out = []
@@ -309,7 +383,7 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long, n long")
 
 
-def join(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 32, band_rows: int = 4, step: int = 32, tolerance: float = 1e-6, block: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 32, band_rows: int = 4, step: int = 32, tolerance: float = 1e-6, block: int = 4000, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, class_id, n_links, n_copies, t1, t2, root`` of every row.
 
     ``n_links`` counts the other *different* texts that the text is linked to, ``n_copies`` the
@@ -322,14 +396,21 @@ def join(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 32, ban
     texts = signed.groupBy("t1", "t2").agg(F.min("id").alias("least_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
     buckets = texts.select("tid", F.explode("bands").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = buckets.join(crowded, "bucket", "left_semi").join(texts.select("tid", "sig"), "tid").select("bucket", "tid", "sig")
+    shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     limits = pruning_limits(bands * band_rows, step, threshold, tolerance)
-    forest_edges = candidate_edges(members.repartition("bucket").sortWithinPartitions("bucket"), limits)
+
+    def members(sizes: DataFrame) -> DataFrame:
+        return lookup(buckets, sizes, ["bucket"], "m", "tid").join(texts.select("tid", "sig"), "tid").select("bucket", "m", "tid", "sig")
+
+    few = members(shared.where(F.col("m") <= crowd)).select("bucket", "tid", "sig")
+    forest_edges = candidate_edges(few.repartition("bucket").sortWithinPartitions("bucket"), limits)
+    many = shared.where(F.col("m") > crowd)
+    if not many.isEmpty():
+        forest_edges = forest_edges.unionByName(crowded_edges(written(members(many), "members"), limits, crowd))
     near = written(components(forest_edges), "near")
     placed = near.join(texts.select("t1", "t2", "tid", "n"), near["node"] == F.col("tid"))
-    sizes = placed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (1000 * block))).alias("n_blocks"))
-    wanted = placed.join(sizes, "root").select("t1", "t2", "tid", "root", "n_blocks")
+    sizes = written(placed.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (500 * block))).alias("n_blocks")), "sizes")
+    wanted = lookup(placed, sizes, ["root"], "m", "tid").select("t1", "t2", "tid", "root", "n_blocks")
     # One text of each group of copies is enough; copies fall together before the shuffle.
     once = rows.groupBy("t1", "t2").agg(F.first("text").alias("text"))
     sets = _sets(once.join(wanted, ["t1", "t2"]).select("tid", "root", "n_blocks", "text"), k)
@@ -347,9 +428,9 @@ def join(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 32, ban
         .withColumn("root", F.coalesce("root", "tid"))
     )
     named = written(named.select("t1", "t2", "root", "least_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    ids = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    labelled = named.join(ids, "root").select("t1", "t2", "root", "class_id", "n_links", "n_copies")
-    return signed.select("id", "t1", "t2").join(labelled, ["t1", "t2"]).select("id", "class_id", "n_links", "n_copies", "t1", "t2", "root")
+    ids = written(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("m")), "ids")
+    labelled = written(lookup(named, ids, ["root"], "m", "t1").select("t1", "t2", "root", "class_id", "n_links", "n_copies"), "labelled")
+    return lookup(signed.select("id", "t1", "t2"), labelled, ["t1", "t2"], "n_copies", "id").select("id", "class_id", "n_links", "n_copies", "t1", "t2", "root")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -363,6 +444,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     classes = join(df, id_col=id_col, text_col=text_col, **options)
     heads = classes.where(F.col("id").eqNullSafe(F.col("class_id")))
     stays = heads.groupBy("root").agg(F.min(F.struct("t1", "t2")).alias("t"), F.first("class_id").alias("id")).select("id", "t.t1", "t.t2")
-    kept = flat.withColumns({"t1": t1, "t2": t2}).join(stays, ["t1", "t2"]).where(F.col(at_id).eqNullSafe(F.col("id")))
+    stays = stays.withColumnsRenamed({"t1": "s1", "t2": "s2"})
+    # The id is part of the key, so copies of one text don't meet in one task.
+    kept = flat.withColumns({"t1": t1, "t2": t2}).join(stays, F.col(at_id).eqNullSafe(F.col("id")) & (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2")))
     first = F.row_number().over(Window.partitionBy("t1", "t2").orderBy("t1"))
     return kept.withColumn("nth", first).where("nth = 1").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm.components import components
-from quillspark.llm.jaccard import exact_links, join, keep_one, pruning_limits, shingle_set, surviving_forest
+from quillspark.llm.jaccard import crowded_edges, exact_links, join, keep_one, matrix_forest, pruning_limits, shingle_set, surviving_forest
 
 from .conftest import frame
 
@@ -43,9 +43,9 @@ def brute(pairs, threshold):
     return sorted(((i, least[find(texts.index(t or ""))], links[texts.index(t or "")], sum((u or "") == (t or "") for _, u in pairs)) for i, t in pairs), key=str)
 
 
-@pytest.mark.parametrize(("threshold", "block"), [(0.8, 1500), (0.8, 4)])
-def test_equals_brute_force(docs, pairs, threshold, block):
-    got = join(docs, threshold=threshold, block=block)
+@pytest.mark.parametrize(("threshold", "block", "crowd"), [(0.8, 1500, 1024), (0.8, 4, 3), (0.6, 7, 5)])
+def test_equals_brute_force(docs, pairs, threshold, block, crowd):
+    got = join(docs, threshold=threshold, block=block, crowd=crowd)
     have = sorted(((r["id"], r["class_id"], r["n_links"], r["n_copies"]) for r in got.collect()), key=str)
     assert have == brute(pairs, threshold)
     assert max(r[2] for r in have) > 3
@@ -83,6 +83,40 @@ def test_exact_links_blocks():
     assert {(a, b + 15) for a, b in zip(i.tolist(), j.tolist())} == {p for p in want if p[0] < 15 <= p[1]}
 
 
+def test_matrix_forest():
+    rnd = np.random.default_rng(2)
+    for square in (True, False):
+        links = rnd.random((30, 30 if square else 20)) < 0.05
+        if square:
+            links = (links | links.T) & ~np.eye(30, dtype=bool)
+        pairs = {(int(i), int(j) + (0 if square else 30)) for i, j in zip(*np.nonzero(links))}
+        found = matrix_forest(links, square)
+        assert all((a, b) in pairs or (b, a) in pairs for a, b in found)
+
+        def parts(edges):
+            root = list(range(50))
+            for _ in range(50):
+                for a, b in edges:
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        assert parts(found) == parts(pairs) and len(found) == 50 - len(set(parts(pairs)))
+
+
+def test_crowded_bucket_of_strangers(spark):
+    """Members that pruning parts from the head still find each other."""
+    rnd = np.random.default_rng(5)
+    kinds = rnd.integers(0, 256, (7, 128), dtype=np.uint8)
+    rows = [(1, 60, i, kinds[i % 7].tobytes()) for i in range(60)] + [(2, 3, 100 + i, kinds[0].tobytes()) for i in range(3)]
+    members = spark.createDataFrame(rows, "bucket long, m long, tid long, sig binary")
+    edges = {(r["a"], r["b"]) for r in crowded_edges(members, pruning_limits(128, 32, 0.8, 1e-6), 8).collect()}
+    root = {i: i for i in range(110)}
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert [root[i] for i in range(60)] == [i % 7 for i in range(60)] and [root[100 + i] for i in range(3)] == [100] * 3
+
+
 @pytest.mark.parametrize(("text", "n"), [("", 0), ("a b", 1), ("a b c d e", 1), ("a b c d e f", 2), ("a a a a a a a", 1)])
 def test_shingles(text, n):
     assert len(shingle_set(text.encode(), 5)) == n
