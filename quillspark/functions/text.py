@@ -13,7 +13,12 @@ CJK = "[一-鿿]"
 SPACE = r"[ \t\n\r\f]+"
 
 #: Symbols that a text model reads better as words.
-SYMBOLS = {"≤": "<=", "≥": ">=", "×": "x", "±": "+-", "→": "->"}
+SYMBOLS = {"×": "x", "–": "-", "—": "-", "•": ".", "·": ".", "●": "*", "◆": "*", "▶": ">", "◦": ".", "©": "(c)", "®": "(r)", "™": "(tm)", "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "λ": "lambda", "μ": "mu", "σ": "sigma", "θ": "theta", "φ": "phi", "ψ": "psi", "ω": "omega", "≤": "<=", "≥": ">=", "≠": "!=", "±": "+-", "≈": "~=", "∞": "inf", "∀": "for all", "∃": "exists", "→": "->", "←": "<-", "⇒": "=>", "⇔": "<=>"}
+#: Common words of four letters and more, at which glued words are cut.
+GLUED = ["with", "from", "were", "been", "being", "have", "does", "will", "would", "could", "should", "might", "shall", "need", "dare", "ought", "used", "this", "that", "these", "those", "your", "they", "their", "each", "every", "both", "more", "most", "some", "such", "only", "same", "than", "very", "just", "also", "then", "else", "when", "where", "which", "whom", "what", "while", "although", "because", "since", "until", "after", "before", "between", "under", "over", "through", "during", "without", "within", "about", "against", "into", "throughout", "among", "vision", "medical", "image", "images", "model", "segment", "segmentation", "detection", "classification", "network", "learning", "training", "testing", "validation", "dataset", "data", "feature", "features", "layer", "layers", "input", "output", "kernel", "filter", "pooling", "convolution", "attention", "transformer", "encoder", "decoder", "algorithm", "method", "approach", "framework", "architecture", "performance", "accuracy", "precision", "recall", "score"]
+#: A page's stamp, whole and what is left of one.
+STAMPS = (r"(?i)ar\s*Xiv:\s*[0-9]{4}\.\s*[0-9]{4,5}v?\s*[0-9]*\s*\[[a-zA-Z\s.\-]+\]\s*[0-9]{1,2}\s+[A-Z][a-z]+\s+[0-9]{4}", r"(?i)ar\s*Xiv:\s*[0-9]{4}\.\s*[0-9]{4,5}v?\s*[0-9]*")
+ADDRESS = r"(?:github\.com|gitlab\.com|https?://)\S+"
 
 
 def null_as_empty(text: Column) -> Column:
@@ -82,7 +87,14 @@ def strip_html(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(null_as_empty(html), F.lit('href="([^"]+)"'), F.lit(1))
+    """Link targets in double, single or no quotes."""
+    marked = F.regexp_extract_all(null_as_empty(html), F.lit("""(?i)href\\s*=\\s*("[^"]+"|'[^']+'|[^\\s"'>]+)"""), F.lit(1))
+    return F.transform(marked, lambda x: F.regexp_replace(x, """^["']|["']$""", ""))
+
+
+def link_label(link: Column) -> Column:
+    """``code`` for a repository of the two large hosts, else ``link``."""
+    return F.when(link.rlike(r"(?i)github\.com|gitlab\.com"), "code").otherwise("link")
 
 
 def match_text(text: Column) -> Column:
@@ -111,21 +123,61 @@ def in_date_range(stamp: Column, low: str | None, high: str | None) -> Column:
     return F.coalesce(inside, F.lit(True))
 
 
-def unglue(text: Column, split_camel: bool = False) -> Column:
-    """Repair text whose spaces were lost: between a letter and a bracket, a digit and a word, a full stop
-    and a capital. Web addresses are left alone. ``split_camel`` also cuts at inner capitals."""
-    words = F.split(F.regexp_replace(null_as_empty(text), r"arXiv:\S+ \[[^\]]*\] \d+ \w+ \d{4}", ""), " ", -1)
+def without_stamps(text: Column) -> Column:
+    """The text without page stamps of an archive."""
+    for pattern in STAMPS:
+        text = F.regexp_replace(text, pattern, "")
+    return text
+
+
+def unglue(text: Column, passes: int = 2) -> Column:
+    """Repair text whose spaces were lost: page stamps go, web addresses are set apart and left alone, the rest is cut between
+    small and capital letters, letters and digits, digits and capitals, a stop and a capital, brackets and letters, and at
+    common words that others are glued to."""
+    text = without_stamps(null_as_empty(text))
+    text = F.regexp_replace(text, r"([a-zA-Z0-9])(?=github\.com|gitlab\.com|https?://)", "$1 ")
+    by_length = sorted(GLUED, key=len, reverse=True)
+    small, capital = "|".join(by_length), "|".join(w.capitalize() for w in by_length)
+    long = "|".join(w for w in by_length if len(w) >= 5)
+    steps = [
+        (r"([a-z])(?=[A-Z])", "$1 "), (r"([a-zA-Z])(?=[0-9])", "$1 "), (r"([0-9])(?=[A-Z])", "$1 "), (r"\.(?=[A-Z])", ". "), (r"([\])}])(?=[a-zA-Z])", "$1 "), (r"([a-zA-Z0-9])(?=[\[(])", "$1 "),
+        *[(rf"(?<![a-zA-Z])({small})(?=[a-zA-Z]{{4,}})", "$1 "), (rf"(?<![a-zA-Z])({capital})(?=[a-z]{{4,}})", "$1 "), (rf"([A-Z])({small})(?=[a-z]{{4,}})", "$1 $2 ")] * passes,
+        *[(rf"([a-z])({long})(?=[a-z]{{5,}})", "$1 $2 ")] * passes,
+    ]
+
+    def repaired(part: Column) -> Column:
+        for pattern, new in steps:
+            part = F.regexp_replace(part, pattern, new)
+        return part
+
+    parts = F.transform(F.split(text, ADDRESS, -1), repaired)
+    kept = F.concat(F.regexp_extract_all(text, F.lit(f"({ADDRESS})"), F.lit(1)), F.array(F.lit("")))
+    return F.array_join(F.zip_with(parts, kept, lambda a, b: F.concat(a, b)), "")
+
+
+def embed_text(paper: Column, section: Column, before: Column, text: Column, limit: int = 4096) -> Column:
+    """What the embedder reads of a chunk: ``[paper] | Section: s | Prev: first sentence | text``, cut, without broken characters."""
+    part = lambda c, made: F.when(F.coalesce(c, F.lit("")) != "", made)
+    whole = F.concat_ws(" | ", part(paper, F.concat(F.lit("["), paper, F.lit("]"))), part(section, F.concat(F.lit("Section: "), section)), part(before, F.concat(F.lit("Prev: "), first_sentence(before))), null_as_empty(text))
+    return F.substring(F.translate(whole, "\x00\ufffd", "  "), 1, limit)
+
+
+def salvaged_json(text: Column, schema: str) -> Column:
+    """A JSON object inside other text, from the first ``{`` to the last ``}``; null if that is none."""
+    found = F.regexp_extract(null_as_empty(text), r"(?s)(\{.*\})", 1)
+    return F.when(found != "", F.from_json(found, schema))
+
+
+def integer_list(text: Column) -> Column:
+    """The whole numbers of the first list of numbers in a text; empty without one."""
+    first = F.regexp_extract(null_as_empty(text), r"\[\s*([0-9]+(?:\s*,\s*[0-9]+)*)\s*\]", 1)
+    return F.transform(F.filter(F.split(first, r"\s*,\s*"), lambda x: x != ""), lambda x: x.cast("int"))
 
-    def repair(w: Column) -> Column:
-        out = F.regexp_replace(w, r"([a-z])\(", "$1 (")
-        out = F.regexp_replace(out, r"\)([A-Za-z])", ") $1")
-        out = F.regexp_replace(out, r"([a-z]{2})([.,;:])([A-Z])", "$1$2 $3")
-        out = F.regexp_replace(out, r"([0-9])([a-z]{4})", "$1 $2")
-        if split_camel:
-            out = F.regexp_replace(out, r"([a-z])([A-Z])", "$1 $2")
-        return F.when(w.rlike(r"(?i)https?:|www\."), w).otherwise(out)
 
-    return F.array_join(F.transform(words, repair), " ")
+def with_defaults(given: Column, defaults: Column) -> Column:
+    """Two string maps as one in which ``given`` wins."""
+    missing = F.map_filter(defaults, lambda k, v: ~F.coalesce(F.map_contains_key(given, k), F.lit(False)))
+    return F.map_concat(missing, F.coalesce(given, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
 
 
 def plain_symbols(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Query rewriting, history and entity memory."""
+"""Query expansion, history and entity memory."""
 
 from __future__ import annotations
 
@@ -59,12 +59,43 @@ def history(messages: DataFrame, size: int = 6, chars: int = 300) -> DataFrame:
 
 def entities(messages: DataFrame) -> DataFrame:
     """``conv_id, kind, entity, first_seen``: entities of each conversation, the last ones of each kind by first mention."""
-    found = None
-    for kind, (pattern, group, limit) in ENTITIES.items():
-        value = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-        rows = messages.select("conv_id", "turn", F.posexplode(value).alias("at", "entity"), F.lit(kind).alias("kind"), F.lit(limit).alias("most"))
-        found = rows if found is None else found.unionByName(rows)
+    def mentions(kind: str) -> Column:
+        pattern, group, limit = ENTITIES[kind]
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda x, i: F.struct(F.lit(kind).alias("kind"), F.lit(limit).alias("most"), i.alias("at"), x.alias("entity")))
+
+    found = messages.select("conv_id", "turn", F.explode(F.concat(*map(mentions, ENTITIES))).alias("m")).select("conv_id", "turn", "m.*")  # one scan for all kinds
     named = F.when(F.col("kind") == "table", F.concat(F.lit("Table_"), "entity")).otherwise(F.trim("entity"))
     first = found.withColumn("entity", named).where("entity <> ''").groupBy("conv_id", "kind", "entity", "most").agg(F.min(F.struct("turn", "at")).alias("seen"))
     newest = Window.partitionBy("conv_id", "kind").orderBy(F.col("seen").desc())
     return first.withColumn("_n", F.row_number().over(newest)).where("_n <= most").select("conv_id", "kind", "entity", F.col("seen.turn").alias("first_seen"))
+
+
+#: The headings of the memory's prompt and how many of each kind it names; words that point back, and which of them are replaced.
+PROMPT = {"paper": ("之前提到的论文", 5), "method": ("讨论过的方法", 5), "metric": ("提及的指标", 5), "table": ("引用过的表格", 3)}
+POINTERS = {"method": (["这个方法", "该模型", "那个方法", "上一个", "上述"], ["这个方法", "该模型"]), "table": (["这张表", "该表", "上表", "表格"], ["这张表", "该表"]), "paper": (["该论文", "这篇文章", "这篇论文"], ["该论文"])}
+
+
+def memory(entity_rows: DataFrame) -> DataFrame:
+    """``conv_id`` and an array for each kind of entity, in the order of first mention. ``entity_rows``: as ``entities`` gives them; bounded by their limits."""
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("first_seen", "entity")))), lambda x: x["entity"]).alias(kind)
+    return entity_rows.groupBy("conv_id").agg(*map(listed, ENTITIES))
+
+
+def context_prompt(topic: Column | None = None) -> Column:
+    """What a conversation's ``memory`` tells a model, over its array columns."""
+    last = lambda kind, n: F.slice(F.col(kind), F.greatest(F.size(kind) - n + 1, F.lit(1)), n)
+    parts = [F.when(F.size(kind) > 0, F.concat(F.lit(f"{title}: "), F.array_join(last(kind, n), "、"))) for kind, (title, n) in PROMPT.items()]
+    if topic is not None:
+        parts.append(F.when(F.coalesce(topic, F.lit("")) != "", F.concat(F.lit("上轮话题: "), topic)))
+    return F.concat_ws(" | ", *parts)
+
+
+def resolved(question: Column) -> Column:
+    """The question with words that point back replaced by the last method, table or paper of its ``memory`` columns; the first kind that is pointed at and known counts."""
+    out = question
+    for kind, (pointing, replaced) in reversed(POINTERS.items()):
+        new = question
+        for word in replaced:
+            new = F.replace(new, F.lit(word), F.element_at(kind, -1))
+        out = F.when(F.lower(question).rlike("|".join(pointing)) & (F.size(kind) > 0), new).otherwise(out)
+    return out

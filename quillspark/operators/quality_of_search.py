@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import null_as_empty, plain_symbols
+
 
 def metrics(results: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = (5, 10)) -> DataFrame:
     """Recall, MRR and NDCG by query at each cutoff.
@@ -39,11 +42,39 @@ def metrics(results: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = (5,
     return found.select(*out)
 
 
+def exact_percentile(rows: DataFrame, value: str, group: list[str], share: float = 0.95, margin: float = 0.002) -> DataFrame:
+    """``group`` and ``value``: the percentile, linear between neighbours, of any number of rows.
+
+    An approximate summary bounds it from both sides; values below are counted, and only those between are sorted: about two
+    ``margin`` of a group.
+    """
+    some = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    about = F.percentile_approx("_v", [max(share - margin, 0.0), min(share + margin, 1.0)], 10_000)
+    few = F.count("*") * margin < 2  # so few that both neighbours may lie outside
+    bounds = some.groupBy(*group).agg(F.when(few, F.array(F.min("_v"), F.max("_v"))).otherwise(about).alias("_b"), F.count("*").alias("_n"))
+    placed = some.join(bounds, group) if group else some.crossJoin(F.broadcast(bounds))
+    low = F.col("_b")[0]
+    below = placed.groupBy(*group).agg(F.count_if(F.col("_v") < low).alias("_below"))
+    middle = placed.where((F.col("_v") >= low) & (F.col("_v") <= F.col("_b")[1]))
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("_v")) - 1
+    ranked = middle.withColumn("_i", nth).join(below, group) if group else middle.withColumn("_i", nth).crossJoin(F.broadcast(below))
+    at = share * (F.col("_n") - 1)
+    place = F.col("_i") + F.col("_below")
+    first, second = F.max(F.when(place == F.floor(at), F.col("_v"))), F.max(F.when(place == F.ceil(at), F.col("_v")))
+    part = F.first(at - F.floor(at))
+    return ranked.groupBy(*group).agg((first + (second - first) * part).alias(value))
+
+
 def trace_summary(traces: DataFrame, latency: str, group: list[str]) -> DataFrame:
     """Count, mean and 95th percentile (linear between neighbours) of the latency."""
-    return traces.groupBy(*group).agg(
-        F.count("*").alias("n"), F.round(F.avg(latency), 4).alias("mean_latency"), F.round(F.percentile(latency, F.lit(0.95)), 4).alias("p95_latency")
-    )
+    means = traces.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg(latency), 4).alias("mean_latency"))
+    top = exact_percentile(traces, latency, group).select(*group, F.round(latency, 4).alias("p95_latency"))
+    return means.join(top, group, "left")
+
+
+def append_traces(traces: DataFrame, path: str) -> None:
+    """Add traces (``query, num_results, latency_ms, top_scores, timestamp`` and metrics) to the stored ones."""
+    traces.write.mode("append").parquet(path)
 
 
 def rerank_pool(candidates: DataFrame, order: DataFrame, pool: int = 15) -> DataFrame:
@@ -68,8 +99,6 @@ def listwise_rerank(candidates: DataFrame, ranker, pool: int = 15) -> DataFrame:
 
     ``ranker(question, texts) -> list of places``; ``candidates``: query_id, question, chunk_id, score, text.
     """
-    import pandas as pd
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", "chunk_id"], ascending=[False, True])
         head = group.head(pool)
@@ -93,3 +122,17 @@ def overlap_ranker(question: str, texts: list[str]) -> list[int]:
     """The offline ranker: by the number of the question's words in a text, ties in the given order."""
     words = set(question.lower().split())
     return sorted(range(len(texts)), key=lambda i: -len(words & set(texts[i].lower().split())))
+
+
+def cross_encoded(candidates: DataFrame, scorer, k: int = 10, limit: int = 1200) -> DataFrame:
+    """Candidates ordered by a plugged model over (question, text) pairs: ``rerank_score`` to 4 places, the ``k`` best of each question.
+
+    ``scorer(questions, texts) -> scores``; texts are freed of symbols and cut first. ``candidates``: query_id, question, chunk_id, text.
+    """
+    def run(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(scorer(questions.tolist(), texts.tolist())).astype(float)
+
+    clean = F.substring(plain_symbols(null_as_empty(F.col("text"))), 1, limit)
+    scored = candidates.withColumn("rerank_score", F.round(F.pandas_udf(run, "double")(F.col("question"), clean), 4))
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -85,6 +85,36 @@ def keyword_source(keywords: DataFrame, sources: DataFrame) -> DataFrame:
     return keywords.join(first, F.lower("keyword") == F.col("token")).select("keyword", "source")
 
 
+def backfill(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (chunk_id, idx, text) with missing texts taken from ``texts`` (chunk_id, idx, text): by id, else by position."""
+    by_id = texts.select("chunk_id", F.nullif("text", F.lit("")).alias("_by_id"))
+    by_place = texts.select("idx", F.nullif("text", F.lit("")).alias("_by_place"))
+    joined = rows.join(by_id, "chunk_id", "left").join(by_place, "idx", "left")
+    return joined.withColumn("text", F.coalesce(F.nullif("text", F.lit("")), "_by_id", "_by_place")).drop("_by_id", "_by_place")
+
+
+def search_captions(figures: DataFrame, wanted: str, source: str | None = None, limit: int = 20) -> DataFrame:
+    """Figures whose caption or page text holds the words, by id. ``figures``: id, paper_source, caption, page_text."""
+    pattern = "%" + wanted.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
+    hit = figures.where(F.col("caption").ilike(pattern) | F.col("page_text").ilike(pattern))
+    if source is not None:
+        hit = hit.where(F.col("paper_source") == source)
+    return hit.orderBy("id").limit(limit)
+
+
+def figures_of_hits(hits: DataFrame, figures: DataFrame) -> DataFrame:
+    """The rows of a text search (``rowid``) joined with their figures."""
+    return hits.join(figures, F.col("rowid") == F.col("id")).drop("rowid")
+
+
+def residue(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Rows that still hold a page stamp, with its number of places and what stands around the first."""
+    mark = r"(?i)ar\s*Xiv:"
+    found = rows.withColumn("n_stamps", F.regexp_count(text, F.lit(mark)).cast("long")).where("n_stamps > 0")
+    at = F.regexp_instr(text, F.lit(mark))
+    return found.withColumn("around", F.substring(text, F.greatest(at - 10, F.lit(1)), F.lit(60)))
+
+
 def dedup_text(rows: DataFrame, order: list[Column], group: list[str] | None = None, text: str = "text", prefix: int = 500) -> DataFrame:
     """The first row, by ``order``, of each prefix of the text."""
     w = Window.partitionBy(*(group or []), F.substring(text, 1, prefix)).orderBy(*order)

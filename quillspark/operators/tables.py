@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A table's method column, and how a figure is cut out of its page.
@@ -29,6 +29,62 @@ def filled_columns(grid: Column) -> Column:
     return F.transform(grid, lambda r: F.transform(used, lambda i: F.coalesce(F.get(r, i - 1), F.lit(""))))
 
 
+def one_header(grid: Column) -> Column:
+    """Two header rows as one: where the first two rows have a digit in one cell at most, cells that differ are joined by ``/``."""
+    digits = lambda r: F.size(F.filter(r, lambda c: F.coalesce(c, F.lit("")).rlike("[0-9]")))
+    first, second = F.get(grid, F.lit(0)), F.get(grid, F.lit(1))
+    plain = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    both = F.zip_with(first, second, lambda a, b: F.when((plain(a) != "") & (plain(b) != "") & (plain(a) != plain(b)), F.concat(plain(a), F.lit("/"), plain(b))).when(plain(a) != "", plain(a)).otherwise(plain(b)))
+    stacked = (F.size(grid) >= 2) & (digits(first) <= 1) & (digits(second) <= 1)
+    return F.when(stacked, F.concat(F.array(both), F.slice(grid, 3, 1 << 30))).otherwise(grid)
+
+
+def table_block(grid: Column, table_id: Column, page: Column) -> Column:
+    """The marked block that stands for a table in a paper's text; null for an empty grid."""
+    block = F.concat(F.lit("[TABLE_HTML: "), table_id, F.lit(" | Page "), page.cast("string"), F.lit("]\n"), grid_html(one_header(filled_columns(grid))), F.lit("\n[/TABLE_HTML]"))
+    return F.when(F.size(grid) > 0, block)
+
+
+def block_metadata(block: Column, expected: Column) -> Column:
+    """struct(is_table, table_id, table_page) of a block's first line; the expected id where the block names none or another."""
+    head = F.substring_index(block, "\n", 1)
+    found = F.nullif(F.regexp_extract(head, r"(?i)Table_([0-9]+)", 1), F.lit(""))
+    named = F.when(found.isNotNull(), F.concat(F.lit("Table_"), found))
+    return F.struct(F.contains(head, F.lit("[TABLE_HTML:")).alias("is_table"), F.when(named == expected, named).otherwise(expected).alias("table_id"), F.regexp_extract(head, r"Page ([0-9]+)", 1).alias("table_page"))
+
+
+def plausible_table(grid: Column, least_rows: int = 2, least_columns: int = 2) -> Column:
+    """Whether a grid can be a table: rows and columns enough, half of its cells filled."""
+    cells = F.flatten(grid)
+    filled = F.size(F.filter(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    width = F.coalesce(F.array_max(F.transform(grid, lambda r: F.size(r))), F.lit(0))
+    return (F.size(grid) >= least_rows) & (width >= least_columns) & (2 * filled >= F.size(cells))
+
+
+def split_lines(row: Column) -> Column:
+    """A row whose cells hold several lines as that many rows; cells with fewer lines end in empty ones."""
+    parts = F.transform(row, lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1))
+    most = F.greatest(F.array_max(F.transform(parts, lambda p: F.size(p))), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), most - 1), lambda i: F.transform(parts, lambda p: F.trim(F.coalesce(F.get(p, i), F.lit("")))))
+
+
+def caption_of(page: Column, number: Column) -> Column:
+    """The line of a page that captions table ``number`` (Arabic, or Roman up to X), of 8 characters at least; else empty."""
+    roman = F.coalesce(F.get(F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"])), number.cast("int") - 1), F.lit("-"))
+    pattern = F.concat(F.lit(r"(?:(?:Table|TABLE)\s+|表\s*)(?:"), number.cast("string"), F.lit("|"), roman, F.lit(r")[.:\s][^\n]{0,100}"))
+    found = F.trim(F.regexp_substr(page, pattern))
+    return F.when(F.char_length(found) >= 8, found).otherwise("")
+
+
+def text_of_characters(characters: DataFrame, gap: float = 3.0) -> DataFrame:
+    """``page, text`` of placed characters (``page, top, x0, text``) in reading order; a new line where the top moves by more than ``gap``."""
+    order = Window.partitionBy("page").orderBy(F.round("top"), "x0")
+    line = F.coalesce((F.abs(F.round("top") - F.lag(F.round("top")).over(order)) > gap).cast("int"), F.lit(0))
+    rows = characters.withColumn("nth", F.row_number().over(order)).withColumn("line", F.sum(line).over(order))
+    lines = rows.groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda c: c["text"]), "").alias("text"))
+    return lines.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
 def grid_html(grid: Column, caption: Column | None = None) -> Column:
     """An HTML table; the first row is the head; line breaks inside a cell become spaces."""
 

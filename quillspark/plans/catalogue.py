@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.functions import vectors as vx
-from quillspark.operators import chunking, dialogue, quality_of_search as quality, relational, routing, search, tables
+from quillspark.operators import chunking, dialogue, quality_of_search as quality, relational, rewriting, routing, search, tables
 from quillspark.plans import retrieval
-from quillspark.shared import spread
+from quillspark.shared import lookup, spread
+from quillspark.sources import parsing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,16 +155,20 @@ def minmax_fusion(spark, sf_dir):
 @query(
     "multi_query_max",
     f"""WITH {_INDEX}, q AS (SELECT query_id, v, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest([0, 1]) AS v, text FROM benchmark) x,
-  LATERAL (SELECT unnest(list_filter(string_split_regex(lower(CASE WHEN v = 0 THEN x.text ELSE left(x.text, 80) END), '[ \t\n\r\f]+'), lambda y: y <> '')) AS term) GROUP BY ALL),
+  LATERAL (SELECT unnest(list_filter(string_split_regex(lower(CASE WHEN v = 0 THEN x.text ELSE 'Experiments and Results ' || x.text END), '[ \t\n\r\f]+'), lambda y: y <> '')) AS term) GROUP BY ALL),
 scored AS (SELECT query_id, v, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM q JOIN tf USING (term) JOIN idf USING (term), stats GROUP BY ALL),
 best AS (SELECT query_id, chunk_id, max(s) AS score FROM scored WHERE round(s, 6) <> 0 GROUP BY ALL) {_ranked('best', 10)}""",
 )
 def multi_query_max(spark, sf_dir):
-    """Rewrites of a question (here itself and its beginning) search on their own; the best score of a chunk counts."""
+    """Rewrites of a question (here itself and an expansion) search on their own; the best score of a chunk counts.
+
+    A chunk among the ten best by its greatest score is among the ten best of the rewrite that gave it.
+    """
     q = _questions(spark, sf_dir)
-    rewrites = q.select(F.struct("query_id", F.lit(0).alias("v")).alias("query_id"), "text").unionByName(q.select(F.struct("query_id", F.lit(1).alias("v")).alias("query_id"), F.substring("text", 1, 80).alias("text")))
-    scores = search.bm25_scores(search.bm25_index(_chunks(spark, sf_dir)), rewrites).where("round(score, 6) <> 0")
-    best = scores.groupBy(F.col("query_id.query_id").alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.concat(F.lit("Experiments and Results "), "text").alias("t"))))
+    rewrites = q.select("query_id", both.alias("x")).select((F.col("query_id") * 2 + F.col("x.v")).alias("query_id"), F.col("x.t").alias("text"))
+    found = search.bm25_search(search.bm25_index(_chunks(spark, sf_dir)), rewrites, 10)
+    best = found.groupBy(F.floor(F.col("query_id") / 2).cast("long").alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
     return _out(search.top_k(best, 10))
 
 
@@ -188,13 +193,13 @@ _BOOST_SQL = "CASE " + " ".join(f"WHEN intent = '{n}' AND {_any('title', w)} THE
 
 @query(
     "section_boost",
-    f"""WITH a AS (SELECT item_id, text, {_intent_sql('text')} AS intent FROM benchmark), s AS (SELECT DISTINCT p_type AS title FROM part)
-SELECT item_id, title, round(({_BOOST_SQL} WHEN intent = 'general' AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '' AND contains(lower(title), w))) > 0 THEN 1.3 ELSE 1.0 END)::DOUBLE, 2) AS boost FROM a, s""",
+    f"""WITH a AS (SELECT item_id, text, {_intent_sql('text')} AS intent, p_type AS title FROM benchmark JOIN part ON p_partkey = item_id)
+SELECT item_id, title, round(({_BOOST_SQL} WHEN intent = 'general' AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '' AND contains(lower(title), w))) > 0 THEN 1.3 ELSE 1.0 END)::DOUBLE, 2) AS boost FROM a""",
 )
 def section_boost(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").withColumn("intent", routing.intent(F.col("text")))
-    titles = table(spark, sf_dir, "part").select(F.col("p_type").alias("title")).distinct()
-    return items.crossJoin(titles).select("item_id", "title", F.round(routing.section_boost(F.col("text"), F.col("intent"), F.col("title")), 2).alias("boost"))
+    titled = items.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("title")), F.col("p_partkey") == F.col("item_id"))
+    return titled.select("item_id", "title", F.round(routing.section_boost(F.col("text"), F.col("intent"), F.col("title")), 2).alias("boost"))
 
 
 # Questions with references, made of table values, as no table holds any.
@@ -295,10 +300,11 @@ def keyword_source(spark, sf_dir):
 # --- ingest ----------------------------------------------------------------------------------
 
 
-@query("incremental_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("incremental_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
 def incremental_anti_join(spark, sf_dir):
     files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), "c_name")
-    return relational.not_indexed(files, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"))).select(F.col("source").alias("c_custkey"), "c_name")
+    indexed = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("source"))
+    return relational.not_indexed(files, indexed).select(F.col("source").alias("c_custkey"), "c_name")
 
 
 _FILES = "SELECT CASE WHEN doc_id % 3 = 0 THEN (2000 + doc_id % 100) || '.' || (10000 + doc_id % 80000) || '.pdf' ELSE source || '_' || lang || '_' || doc_id || '.pdf' END AS file, doc_id FROM documents"
@@ -352,10 +358,14 @@ def section_bundle(spark, sf_dir):
     return relational.bundle_sections(hits, placed, ["source", "lang"]).withColumn("score", F.round("score", 4))
 
 
-@query("text_backfill", "SELECT d.doc_id, coalesce(nullif(b.text, ''), d.text) AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+@query("text_backfill", """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE text END AS text FROM documents)
+SELECT doc_id, coalesce(nullif(r.text, ''), nullif(a.text, ''), nullif(b.text, '')) AS text FROM r LEFT JOIN benchmark a ON a.item_id = doc_id LEFT JOIN benchmark b ON b.item_id + 50 = doc_id""")
 def text_backfill(spark, sf_dir):
-    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other"))
-    return d.join(b, d["doc_id"] == b["item_id"], "left").select("doc_id", F.coalesce(F.nullif("other", F.lit("")), "text").alias("text"))
+    """Missing texts by id, else by place; an item's place is 50 more than its id."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, "").otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("idx"), text.alias("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), (F.col("item_id") + 50).alias("idx"), "text")
+    return relational.backfill(rows, items).select(F.col("chunk_id").alias("doc_id"), "text")
 
 
 _FIGURES = "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS paper, (l_quantity::INT) AS page_no, CASE l_linenumber % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'figure' ELSE 'table' END AS kind FROM lineitem"
@@ -369,12 +379,11 @@ def page_neighbourhood(spark, sf_dir):
     return relational.page_neighbourhood(figures, targets).select("target_id", "id", F.col("page_no").cast("long").alias("page_no"), "kind")
 
 
-@query("lag_context", """SELECT conv_id, turn, 'Section: ' || role || ' | ' || coalesce('Prev: ' || left(string_split(lag(text) OVER w, '. ')[1], 150) || ' | ', '') || left(text, 4096) AS embed_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("lag_context", """SELECT conv_id, turn, left('[Talk ' || conv_id || '] | Section: ' || role || CASE WHEN lag(text) OVER w <> '' THEN ' | Prev: ' || left(string_split(lag(text) OVER w, '. ')[1], 150) ELSE '' END || ' | ' || text, 4096) AS embed_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def lag_context(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.lag("text").over(w)
-    prev = F.when(before.isNotNull(), F.concat(F.lit("Prev: "), tx.first_sentence(before), F.lit(" | "))).otherwise("")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("Section: "), "role", F.lit(" | "), prev, F.substring("text", 1, 4096)).alias("embed_text"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    told = tx.embed_text(F.concat(F.lit("Talk "), F.col("conv_id").cast("string")), F.col("role"), before, F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", told.alias("embed_text"))
 
 
 @query("heading_spans", """WITH l AS (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -386,18 +395,15 @@ def heading_spans(spark, sf_dir):
     return lines.select("doc_id", line_no.alias("line_no"), F.lead(line_no).over(Window.partitionBy("doc_id").orderBy("n")).alias("next_no"))
 
 
-@query("stem_match", """WITH w AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 3))) AS word FROM benchmark),
-s AS (SELECT item_id || '_file.pdf' AS source, unnest(list_distinct(list_filter(string_split_regex(lower(left(text, 60)), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 3))) AS word FROM benchmark),
+@query("stem_match", """WITH n AS (SELECT item_id AS query_id, text, item_id || '_' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '_', 'g') || '.pdf' AS source FROM benchmark),
+w AS (SELECT query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 3))) AS word FROM n),
+s AS (SELECT source, unnest(list_distinct(list_filter(string_split_regex(lower(left(source, length(source) - 4)), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 3))) AS word FROM n),
 h AS (SELECT query_id, source, count(*) AS hits FROM w JOIN s USING (word) GROUP BY ALL HAVING count(*) >= 3) SELECT query_id, source, hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, source) AS rn FROM h) WHERE rn = 1""")
 def stem_match(spark, sf_dir):
+    """Files named by the words of whole items."""
     q = _questions(spark, sf_dir)
-    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 60)), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) > 3))
-    sources = q.select(F.concat(F.array_join(words, "_"), F.lit(".pdf")).alias("source"), F.concat(F.col("query_id").cast("string"), F.lit("_file.pdf")).alias("file"))
-    split = sources.select("file", F.explode(F.array_distinct(F.filter(F.split(F.regexp_replace("source", r"\.pdf$", ""), "_"), lambda t: F.char_length(t) > 3))).alias("word"))
-    own = q.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) > 3))).alias("word"))
-    hits = own.join(split, "word").groupBy("query_id", F.col("file").alias("source")).agg(F.count("*").alias("hits")).where("hits >= 3")
-    w = Window.partitionBy("query_id").orderBy(F.col("hits").desc(), "source")
-    return hits.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    name = F.concat(F.col("query_id").cast("string"), F.lit("_"), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "_"), F.lit(".pdf"))
+    return relational.stem_matches(q, q.select(name.alias("source")))
 
 
 @query("dedup_prefix500", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY left(text, 500) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
@@ -417,11 +423,11 @@ def chunk_ids(spark, sf_dir):
     return relational.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"])
 
 
-@query("abstract_union", """SELECT doc_id, 0::BIGINT AS ordinal, 'abstract' AS chunk_type, left(text, 200) AS text FROM documents UNION ALL SELECT doc_id, 1::BIGINT, 'body', text FROM documents""")
+@query("abstract_union", """SELECT doc_id, 0::BIGINT AS ordinal, 'abstract' AS chunk_type, source || ' in ' || lang || ': ' || text AS text FROM documents UNION ALL SELECT doc_id, 1::BIGINT, 'body', text FROM documents""")
 def abstract_union(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     part = lambda n, kind, text: d.select("doc_id", F.lit(n).cast("long").alias("ordinal"), F.lit(kind).alias("chunk_type"), text.alias("text"))
-    return part(0, "abstract", F.substring("text", 1, 200)).unionByName(part(1, "body", F.col("text")))
+    return part(0, "abstract", F.concat("source", F.lit(" in "), "lang", F.lit(": "), "text")).unionByName(part(1, "body", F.col("text")))
 
 
 # --- filters, projections, scalar functions ------------------------------------------------------
@@ -461,9 +467,10 @@ def nonempty_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id")
 
 
-@query("like_search", "SELECT doc_id, source FROM documents WHERE text ILIKE '%license%' ORDER BY doc_id LIMIT 20")
+@query("like_search", "SELECT doc_id, source FROM documents WHERE text ILIKE '%license%' OR source ILIKE '%license%' ORDER BY doc_id LIMIT 20")
 def like_search(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").ilike("%license%")).select("doc_id", "source").orderBy("doc_id").limit(20)
+    figures = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_source"), F.col("source").alias("caption"), F.col("text").alias("page_text"))
+    return relational.search_captions(figures, "license").select(F.col("id").alias("doc_id"), F.col("paper_source").alias("source"))
 
 
 @query("figure_lookup", f"SELECT id, page_no::BIGINT AS page_no, kind FROM ({_FIGURES}) WHERE paper = 1 AND kind <> 'page' ORDER BY page_no, id LIMIT 20")
@@ -491,9 +498,9 @@ def result_projection(spark, sf_dir):
     return d.select("doc_id", F.substring("text", 1, 1500).alias("text"), score.alias("score"), F.when(F.col("source") == "src1", F.concat(F.lit("Table_"), (F.col("doc_id") % 9).cast("string"))).alias("table_id"), F.array_join(F.slice(F.split("text", " ", -1), 1, 3), " ").alias("authors"), F.substring("text", 1, 200).alias("abstract"))
 
 
-@query("section_distribution", "SELECT source, lang, count(*) AS n, min_by(left(text, 30), doc_id) AS first_title FROM documents GROUP BY ALL")
+@query("section_distribution", "SELECT source, lang, count(*) AS n, min_by(text, doc_id) AS first_title FROM documents GROUP BY ALL")
 def section_distribution(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min_by(F.substring("text", 1, 30), "doc_id").alias("first_title"))
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min_by("text", "doc_id").alias("first_title"))
 
 
 @query("duplicate_ids", "SELECT p_brand, p_type, count(*) AS n, count(DISTINCT p_size) AS n_sizes FROM part GROUP BY ALL HAVING count(*) > 1")
@@ -569,9 +576,10 @@ def archive_id_test(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", tx.is_archive_id(F.replace("file", F.lit(".pdf"), F.lit(""))).alias("is_id"))
 
 
-@query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages")
+@query("html_links", "SELECT page_id, link, CASE WHEN regexp_matches(link, '(?i)github\\.com|gitlab\\.com') THEN 'code' ELSE 'link' END AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages)")
 def html_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(tx.links(F.col("html"))).alias("link"))
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(tx.links(F.col("html"))).alias("link"))
+    return found.select("page_id", "link", tx.link_label(F.col("link")).alias("label"))
 
 
 @query("html_strip", """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
@@ -708,13 +716,13 @@ def intent_expansion(spark, sf_dir):
     return rows.select("conv_id", "turn", F.col("n").cast("long").alias("place"), "expanded")
 
 
-@query("ordered_distinct_rewrites", """WITH g AS (SELECT conv_id AS query_id, turn AS pos, trim(left(text, 24)) AS text FROM conversations),
+@query("ordered_distinct_rewrites", """WITH g AS (SELECT conv_id AS query_id, turn AS pos, trim(text) AS text FROM conversations),
 ok AS (SELECT * FROM g WHERE pos = 0 OR len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 3),
 f AS (SELECT query_id, pos, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY pos) AS n FROM ok) WHERE n = 1)
 SELECT query_id, place, text FROM (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS place FROM f) WHERE place < 6""")
 def ordered_distinct_rewrites(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.substring("text", 1, 24).alias("text"))
-    return dialogue.distinct_rewrites(rows)
+    """Whole turns stand in for rewrites."""
+    return dialogue.distinct_rewrites(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), "text"))
 
 
 @query("history_window", "SELECT conv_id, turn, coalesce(string_agg(role || ': ' || left(text, 300), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations")
@@ -905,9 +913,12 @@ def positional_join(spark, sf_dir):
     return d.join(e, "idx").select("idx", "doc_id", "source", "vec_id", "label")
 
 
-@query("source_lists", "SELECT source, array_to_string(list(doc_id ORDER BY doc_id), ',') AS ids FROM documents GROUP BY source")
+@query("source_lists", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth FROM documents")
 def source_lists(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",").alias("ids"))
+    """Rows by source: each with its place in its source, so that a list of any length stays rows."""
+    placed = relational.numbered(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source", "doc_id"])
+    first = placed.groupBy("source").agg(F.min("idx").alias("first"), F.count("*").alias("n"))
+    return lookup(placed, first, ["source"], "n", "doc_id").select("source", "doc_id", (F.col("idx") - F.col("first")).alias("nth"))
 
 
 _GRID = "list(CASE WHEN l_linenumber = 1 THEN ['Method', l_returnflag, ''] ELSE [l_returnflag, l_linenumber::VARCHAR, ''] END ORDER BY l_linenumber, l_returnflag)"
@@ -971,6 +982,69 @@ def reference_split(spark, sf_dir):
     return items.select("l_orderkey", F.col("n").cast("long").alias("ordinal"), "item")
 
 
+@query("table_block", f"""WITH g AS (SELECT l_orderkey, {_GRID} AS grid FROM lineitem GROUP BY l_orderkey), h AS (SELECT l_orderkey, CASE WHEN len(grid) < 2 OR length(regexp_replace(grid[2][1] || grid[2][2], '[^0-9]', '', 'g')) > 9 THEN grid
+  ELSE [[CASE WHEN grid[1][1] = grid[2][1] THEN grid[1][1] ELSE grid[1][1] || '/' || grid[2][1] END, CASE WHEN grid[1][2] = grid[2][2] THEN grid[1][2] ELSE grid[1][2] || '/' || grid[2][2] END, '']] || grid[3:] END AS grid FROM g)
+SELECT l_orderkey, '[TABLE_HTML: Table_' || (l_orderkey % 9) || ' | Page 3]' || chr(10) || '<table><tr>' || array_to_string(list_transform(grid[1][1:2], lambda c: '<th>' || c || '</th>'), '') || '</tr>' ||
+  array_to_string(list_transform(grid[2:], lambda r: '<tr><td>' || r[1] || '</td><td>' || r[2] || '</td></tr>'), '') || '</table>' || chr(10) || '[/TABLE_HTML]' AS block FROM h""")
+def table_block(spark, sf_dir):
+    """Grids as marked blocks, stacked header rows joined."""
+    block = tables.table_block(F.col("grid"), F.concat(F.lit("Table_"), (F.col("l_orderkey") % 9).cast("string")), F.lit(3))
+    return _grids(spark, sf_dir).select("l_orderkey", block.alias("block"))
+
+
+@query("table_embed_text")
+def table_embed_text(spark, sf_dir):
+    """What the embedder reads of a table."""
+    html = tables.grid_html(F.col("grid"), F.concat(F.lit("Table of order "), F.col("l_orderkey").cast("string")))
+    return _grids(spark, sf_dir).select("l_orderkey", tables.table_text(html).alias("text"), tables.grid_markdown(F.col("grid")).alias("markdown"))
+
+
+@query("stamp_residue", """SELECT p_partkey, len(regexp_extract_all(t, '(?i)ar\\s*Xiv:')) AS n_stamps, t AS around FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'x ar Xiv:' || p_size WHEN 1 THEN 'arXiv: 1 arxiv:' || p_size ELSE p_name END AS t FROM part) WHERE regexp_matches(t, '(?i)ar\\s*Xiv:')""")
+def stamp_residue(spark, sf_dir):
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("x ar Xiv:"), size)).when(k == 1, F.concat(F.lit("arXiv: 1 arxiv:"), size)).otherwise(F.col("p_name"))
+    return relational.residue(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).select("p_partkey", "n_stamps", "around")
+
+
+@query("memory_prompt", f"""WITH m AS ({_MENTIONS}), e AS (
+  SELECT conv_id, turn, 'method' AS kind, unnest(regexp_extract_all(text, '([A-Z][A-Za-z0-9/-]*(?:Net|Former|Model|GNN|CNN|RNN|GAN|VAE|SAM|DETR|YOLO|BERT|GPT|LoRA|Caps))', 1)) AS entity, 10 AS most FROM m UNION ALL
+  SELECT conv_id, turn, 'metric', trim(unnest(regexp_extract_all(text, '(?i)([0-9]+\\.?[0-9]*\\s*%?\\s*(?:F1|sensitivity|specificity|accuracy|precision|recall|mIoU|AUC|NDCG|MRR))', 1))), 10 FROM m UNION ALL
+  SELECT conv_id, turn, 'table', 'Table_' || unnest(regexp_extract_all(text, '(?i)Table[_\\s]([0-9]+)', 1)), 5 FROM m),
+f AS (SELECT conv_id, kind, entity, most, min(turn) AS first_seen FROM e WHERE entity <> '' GROUP BY ALL),
+k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, kind ORDER BY first_seen DESC) <= most),
+l AS (SELECT conv_id, list(entity ORDER BY first_seen, entity) FILTER (kind = 'method') AS me, list(entity ORDER BY first_seen, entity) FILTER (kind = 'metric') AS mt, list(entity ORDER BY first_seen, entity) FILTER (kind = 'table') AS ta FROM k GROUP BY conv_id)
+SELECT conv_id, concat_ws(' | ', '讨论过的方法: ' || array_to_string(me[greatest(len(me) - 4, 1):], '、'), '提及的指标: ' || array_to_string(mt[greatest(len(mt) - 4, 1):], '、'), '引用过的表格: ' || array_to_string(ta[greatest(len(ta) - 2, 1):], '、')) AS prompt,
+  replace('这张表 again', '这张表', ta[len(ta)]) AS resolved FROM l""")
+def memory_prompt(spark, sf_dir):
+    """What each conversation's memory tells a model, and a question that points back."""
+    told = dialogue.entities(spark.sql(_MENTIONS.replace("FROM orders", "FROM {o}"), o=table(spark, sf_dir, "orders")))
+    return dialogue.memory(told).select("conv_id", dialogue.context_prompt().alias("prompt"), dialogue.resolved(F.lit("这张表 again")).alias("resolved"))
+
+
+@query("file_stems", "SELECT p_partkey, left(regexp_replace(p_name || ' ' || p_type, '\\s+', '_', 'g'), 120) AS stem, 'alpha<=' || p_name AS plain FROM part")
+def file_stems(spark, sf_dir):
+    name = F.concat("p_name", F.lit(" "), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.file_stem(name).alias("stem"), tx.plain_symbols(F.concat(F.lit("α≤"), "p_name")).alias("plain"))
+
+
+@query("rewrites")
+def rewrites(spark, sf_dir):
+    """Each item's rewrites by its strategy, from the offline generator."""
+    return rewriting.rewrites(_questions(spark, sf_dir))
+
+
+@query("contextual_rewrites")
+def contextual_rewrites(spark, sf_dir):
+    return rewriting.contextual(table(spark, sf_dir, "conversations"))
+
+
+@query("parsed_pages", "SELECT page_id || '.html' AS source, 'html' AS engine FROM pages")
+def parsed_pages(spark, sf_dir):
+    """Web pages through the parser plugs; the PDF engine is tried first and finds nothing."""
+    files = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return parsing.parsed(files, ["pdf", "html"]).select("source", "engine")
+
+
 # --- extensions: batch twins of the streams -----------------------------------------------------------
 
 

@@ -20,7 +20,10 @@ PAPER = "archive_id string, title string, abstract string, authors array<string>
 
 
 class PaperSource(DataSource):
-    """``spark.read.format("papers").option("lines", ...)``: metadata given as JSON lines in an option, or a file of them in ``path``."""
+    """``spark.read.format("papers").option("lines", ...)``: metadata given as JSON lines in an option, in parts of ``part`` lines.
+
+    Files of lines are read by ``read_papers``, with Spark's own reader.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -35,23 +38,31 @@ class PaperSource(DataSource):
 
 class PaperReader(DataSourceReader):
     def __init__(self, options, names: list[str]):
-        self.lines, self.path, self.names = options.get("lines"), options.get("path"), names
+        self.lines, self.part, self.names = options.get("lines", "").splitlines(), int(options.get("part", "1000")), names
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        return [InputPartition(at) for at in range(0, max(len(self.lines), 1), self.part)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if self.lines is not None:
-            lines = self.lines.splitlines()
-        else:
-            with open(self.path, encoding="utf-8") as f:
-                lines = f.readlines()
-        for line in lines:
+        for line in self.lines[partition.value : partition.value + self.part]:
             if line.strip():
                 row = json.loads(line)
                 yield tuple(row.get(n) for n in self.names)
 
 
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata from JSON lines at any path that Spark reads; broken lines go."""
+    return spark.read.schema(PAPER).option("mode", "DROPMALFORMED").json(path)
+
+
+def search_or_retry(papers: DataFrame, terms: str, rewritten: str | None = None, **how) -> DataFrame:
+    """Search by the rewritten terms, and by the question's own over all fields if they find nothing."""
+    found = search(papers, rewritten or terms, **how)
+    if rewritten and rewritten != terms and found.isEmpty():
+        return search(papers, terms, **how)
+    return found
+
+
 def search(papers: DataFrame, terms: str, date_from: str | None = None, date_to: str | None = None, field: str = "submitted", categories: list[str] | None = None, sort: str = "relevance", descending: bool = True, limit: int = 20) -> DataFrame:
     """Papers that have every term in title or abstract; dates and categories as filters.
 

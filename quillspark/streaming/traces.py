@@ -25,7 +25,11 @@ def sessions(events: DataFrame, watermark: str | None = "10 minutes", gap: str =
     return grouped.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def ingest(documents: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "source") -> StreamingQuery:
-    """Feed new documents to ``sink`` batch by batch, each key once."""
-    fresh = documents.dropDuplicates([key])
+def ingest(documents: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "source", stamp: str | None = None, watermark: str = "1 day") -> StreamingQuery:
+    """Feed new documents to ``sink`` batch by batch, each key once.
+
+    With ``stamp``, a timestamp column, keys are remembered for ``watermark`` only, so the state is bounded; the sink's own anti join
+    (``IndexStore.build``) covers older ones.
+    """
+    fresh = documents.dropDuplicates([key]) if stamp is None else documents.withWatermark(stamp, watermark).dropDuplicatesWithinWatermark([key])
     return fresh.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

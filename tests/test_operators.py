@@ -59,9 +59,31 @@ def test_archive_id(spark, name, want):
     assert one(spark, tx.is_archive_id(lit(name).cast("string"))) is want
 
 
-def test_unglue(spark):
-    assert one(spark, tx.unglue(lit("net(fast) see https://a.b/C(d) end.Start LoRA"))) == "net (fast) see https://a.b/C(d) end. Start LoRA"
-    assert one(spark, tx.unglue(lit("LoRA"), split_camel=True)) == "Lo RA"
+@pytest.mark.parametrize(("text", "want"), [
+    ("net(fast) see https://a.b/C(d) end.Start LoRA2x", "net (fast) see https://a.b/C(d) end. Start Lo RA 2x"),
+    ("ar Xiv:1912.11947v 1  [eess. IV]  26 Dec 2019 textgithub.com/A/Bc1", " text github.com/A/Bc1"),
+    ("segmentanything Segmentanything Asegmentanything", "segment anything Segment anything A segment anything"),
+    ("oneandmedicalimages", "oneand medical images"),
+    ("", ""), (None, ""),
+])
+def test_unglue(spark, text, want):
+    assert one(spark, tx.unglue(F.lit(text).cast("string"))) == want
+
+
+def test_embed_text_and_json(spark):
+    assert one(spark, tx.embed_text(lit("P"), lit("S"), lit("One. Two."), lit("a\x00b\ufffd"))) == "[P] | Section: S | Prev: One | a b "
+    assert one(spark, tx.embed_text(lit(""), F.lit(None).cast("string"), F.lit(None).cast("string"), lit("t"))) == "t"
+    assert one(spark, tx.salvaged_json(lit('so: {"a": 1} done'), "a int"))["a"] == 1 and one(spark, tx.salvaged_json(lit("none"), "a int")) is None
+    assert one(spark, tx.integer_list(lit("order [3, 1,2] ok"))) == [3, 1, 2] and one(spark, tx.integer_list(lit("no"))) == []
+    pair = lambda *x: F.create_map(*map(F.lit, x))
+    assert one(spark, tx.with_defaults(pair("a", "1"), pair("a", "0", "b", "2"))) == {"a": "1", "b": "2"}
+    assert one(spark, tx.with_defaults(F.lit(None).cast("map<string,string>"), pair("b", "2"))) == {"b": "2"}
+
+
+def test_links(spark):
+    assert one(spark, tx.links(lit("""<a href="x y"> <a HREF='z'> <a href = q>"""))) == ["x y", "z", "q"]
+    assert [one(spark, tx.link_label(lit(x))) for x in ("https://GitHub.com/a", "http://b")] == ["code", "link"]
+    assert one(spark, tx.plain_symbols(lit("α≤β → ∞"))) == "alpha<=beta -> inf"
 
 
 def test_vectors(spark):

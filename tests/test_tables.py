@@ -59,3 +59,23 @@ def test_tools(spark, assistant):
     assert json.loads(registry["get_paper_info"]("9")) is None
     assert json.loads(registry["rag_query"]("trees"))[0]["chunk_id"] == 2
     assert "error" in json.loads(registry["search_papers"]("nets", sort="no"))
+
+
+def test_assistant_falls_back_and_reports(spark):
+    from quillspark.plans.assistant import PLUGS, plug, register
+
+    chunks = spark.createDataFrame([(1, "nets find polyps", "a.pdf", "Method", "Table_2"), (2, "trees grow", "b.pdf", "", ""), (3, "sky", "c.pdf", "", ""), (4, "sea", "c.pdf", "", "")], "chunk_id long, text string, source string, section_title string, table_id string")
+    papers = spark.createDataFrame([("2401.1", "Deep seas", "About whales and seas.", ["A"], ["q"], None, None, None)], "archive_id string, title string, abstract string, authors array<string>, categories array<string>, published string, updated string, pdf_url string")
+    a = Assistant(search.bm25_index(chunks), papers=papers, rewrite=plug("rewriter", "templates"))
+    assert a.ask("polyps").startswith("[1] a.pdf, Method table Table_2\nnets find polyps")
+    assert "whales" in a.ask("whales swim") and [s for s, _ in a.steps] == ["retrieve", "generate", "retrieve", "abstracts", "generate"]
+    assert a.report().count() == 5
+    told = a.quick("trees", [("user", "earlier")] * 12)
+    assert told.startswith("[1] b.pdf") and told.count("user: earlier") == 10
+    register("reranker", "first", lambda q, t: list(range(len(t))))
+    assert plug("reranker", "first")("q", ["a", "b"]) == [0, 1]
+    with pytest.raises(ValueError):
+        plug("parser", "none")
+    del PLUGS["reranker"]["first"]
+    a.generate = lambda q, c: 1 / 0
+    assert a.ask("polyps") == "" and a.steps[-1][1].startswith("failed")
