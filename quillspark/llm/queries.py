@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.shared import spread
+
 from .oracles import oracle_sql  # noqa: F401
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +64,17 @@ def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .editcount import count_edited
+    from .editcount import edited, header, redactions, trees
 
-    counted = count_edited(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return counted.withColumnRenamed("id", "doc_id")
+    how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    # One batch of edits after the other, each on the trees that the one before left.
+    first = trees(_documents(spark, sf_dir), *how).withColumn("n_pretokens", (F.octet_length("lengths") / 4).cast("long"))
+    masked = edited(first, *how, redactions, ["n_pretokens"]).withColumnsRenamed({"n_before": "n_tokens_first", "n_edits": "n_edits_first", "n_reencoded": "n_reencoded_first"})
+    both = edited(masked, *how, header, ["n_pretokens", "n_tokens_first", "n_edits_first", "n_reencoded_first"])
+    return both.select(
+        F.col("id").alias("doc_id"), "n_pretokens", F.col("n_tokens_first").alias("n_tokens"), F.col("n_edits_first").alias("n_edits"), F.col("n_reencoded_first").alias("n_reencoded"), F.col("n_before").alias("n_tokens_after"),
+        F.col("n_edits").alias("n_edits_second"), F.col("n_reencoded").alias("n_reencoded_second"), F.col("n_tokens").alias("n_tokens_second"), F.char_length("text").cast("long").alias("n_chars_after"),
+    )
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
