@@ -101,9 +101,9 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .fertility import judge
 
-    judged = judge(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    judged = judge(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judged.select(F.col("id").alias("doc_id"), *first, "lang", "n_tokens", "chars_per_token", "byte_share", "entropy", "failed_band")
+    return judged.select(F.col("id").alias("doc_id"), *first, "lang", "n_tokens", "chars_per_token", "byte_share", "entropy", "pair_chars_per_token", "pair_byte_share", "failed_band")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
