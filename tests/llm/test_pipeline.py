@@ -73,3 +73,22 @@ def test_run(spark):
 
 def test_registered():
     assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)} and oracle_sql().keys() <= queries().keys()
+
+
+def test_odd_rows_and_columns(spark, docs, none, tmp_path):
+    """Nulls, empty and long texts, equal rows, clashing names; stage after stage, each written and read."""
+    labels = [(i, int(i % 3 > 0)) for i in range(60)] + [(None, 1), (3, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, before = docs, docs.count()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        made = stage(spark, now, str(tmp_path))
+        assert made.columns == docs.columns and made.schema["n_chars"].dataType == docs.schema["n_chars"].dataType, name
+        made.write.parquet(str(tmp_path / str(i)))
+        now = spark.read.parquet(str(tmp_path / str(i)))
+        left = now.count()
+        assert 0 < left <= before and now.where("kept <> 'x' or spans <> 'x' or tid <> 'x'").isEmpty()
+        before = left
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    pieces = corpus_pipeline.packed(spark, now, str(tmp_path))
+    assert pieces.where("start = 0").count() == before
+    assert corpus_pipeline.packed(spark, none, str(tmp_path)).count() == 0
