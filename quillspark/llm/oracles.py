@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .licenses import PHRASES, TEMPLATES
-from .secrets import ACCESS, ASSIGN, HEX, KINDS, SCOPE_BREAK, WEAK
+from .secrets import ACCESS, ASSIGN, BASE, HEX, KINDS, MORE, SCOPE_BREAK, SECRET, WEAK, WHO
 
 
 def _quoted(text: str) -> str:
@@ -16,31 +16,53 @@ _DOCS = "docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '')
 _WORD_GAP = r"'[\x20\x09-\x0D]+'"
 
 
-def _spans_sql(name: str, pattern: str, rank: int, kind: str, least: int = 0) -> str:
-    """A table of a pattern's matches: rn, st, rank, kind, en; pieces and matches alternate."""
+def _spans_sql(name: str, pattern: str, rank: int, kind: str, least: int = 0, text: str = "text", skip: int = 0, core: bool = False, sound: str = "true") -> str:
+    """A table of a pattern's matches: rn, st, rank, kind, en; pieces and matches alternate.
+
+    The first ``skip`` characters of a match are context before it; with ``core`` it ends with its first group; ``sound`` is a test of the match ``w``.
+    """
     p = _quoted(pattern)
-    value = f"regexp_extract_all(text, {p}, {2 if least else 0})"
+    value = f"regexp_extract_all({text}, {p}, {1 if core else 2 if least else 0})"
+    end = "length(v[i])" if core else "length(m[i])"
     return f"""{name} AS (SELECT rn, s.st AS st, {rank} AS rank, '{kind}' AS kind, s.en AS en FROM (
-  SELECT rn, unnest(list_transform(m, lambda x, i: {{'st': list_sum(list_transform(g[1:i], lambda y: length(y)))::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))), 0)::BIGINT,
-    'en': list_sum(list_transform(g[1:i], lambda y: length(y)))::BIGINT + list_sum(list_transform(m[1:i], lambda y: length(y)))::BIGINT, 'size': length(v[i])}})) AS s
-  FROM (SELECT rn, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}, 0) AS m, {value} AS v FROM docs WHERE regexp_matches(text, {p})))
-  WHERE s.size >= {least})"""
+  SELECT rn, unnest(list_transform(m, lambda x, i: {{'st': list_sum(list_transform(g[1:i], lambda y: length(y)))::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))), 0)::BIGINT + {skip},
+    'en': list_sum(list_transform(g[1:i], lambda y: length(y)))::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))), 0)::BIGINT + {end}, 'size': length(v[i]), 'w': m[i]}})) AS s
+  FROM (SELECT rn, string_split_regex({text}, {p}) AS g, regexp_extract_all({text}, {p}, 0) AS m, {value} AS v FROM docs WHERE regexp_matches({text}, {p})))
+  WHERE s.size >= {least} AND {sound.replace('w.', 's.w')})"""
+
+
+#: ``MORE`` without looking around: a prefix is matched and skipped, names that another name turns into
+#: something else have one letter changed in the text before, and a run's letters are tested afterwards.
+_ID_TEXT = "regexp_replace(text, '(?i)(secret_)a(ccess_?key)', '\\10\\2', 'g')"
+_VALUE_TEXT = "regexp_replace(regexp_replace(text, '(?i)(secret_)a(ccess_?key)', '\\11\\2', 'g'), '(?i)(access_)k(ey)', '\\10\\2', 'g')"
+_MORE_SQL = {
+    "prefixed_id": dict(pattern=r"""(?i)[a-z0-9]_(?:user(?:name|_?id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", text=_ID_TEXT, skip=2),
+    "prefixed_value": dict(pattern=r"""(?i)[a-z0-9]_(?:pass|pwd|pw|key|1ccess_?key|credential|auth|private_?key|client_?secret)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", text=_VALUE_TEXT, skip=2),
+    "short_value": dict(pattern=r"""((?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{6,11})(?:[^A-Za-z0-9+/_.=-]|$)""", core=True),
+    "random": dict(pattern=r"[A-Za-z0-9+/_=-]{20,}", sound="regexp_matches(w., '[a-z]') AND regexp_matches(w., '[A-Z]') AND regexp_matches(w., '[0-9]')"),
+}
 
 
 def _secrets(reach: int = 200) -> str:
     kinds = {"assign": (ASSIGN, 12), "access": (ACCESS, 0), "hex": (HEX, 0), **{k: (p, 0) for k, p in WEAK.items()}}
     tables = [_spans_sql(f"s_{k}", p, KINDS.index(k), k, least) for k, (p, least) in kinds.items()]
-    strong = " UNION ALL ".join(f"FROM s_{k}" for k in ("assign", "access", "hex"))
+    tables += [_spans_sql(f"s_{k}", rank=KINDS.index(k), kind=k, **how) for k, how in _MORE_SQL.items()]
+    strong = " UNION ALL ".join(f"FROM s_{k}" for k in BASE)
     weak = " UNION ALL ".join(f"FROM s_{k}" for k in WEAK)
+    more = " UNION ALL ".join(f"FROM s_{k}" for k in MORE if k != "random")
+    listed = lambda kinds: ", ".join(map(_quoted, kinds))
     # RE2's (?i) also folds the long s and the kelvin sign, which are no letters of a pattern here.
     docs = _DOCS.replace("coalesce(text, '')", "translate(coalesce(text, ''), '\u017f\u212a', '??')")
     return f"""WITH {docs}, {', '.join(tables)}, {_spans_sql('breaks', SCOPE_BREAK, 9, 'break')},
-base AS ({strong}), weak AS ({weak}),
+base AS ({strong}), named AS (FROM base UNION ALL {weak}),
+fresh AS (SELECT * FROM ({more}) m WHERE NOT EXISTS (SELECT 1 FROM named p WHERE p.rn = m.rn AND p.kind <> 'endpoint' AND p.st <= m.st AND m.en <= p.en)),
+told AS (FROM named UNION ALL FROM fresh),
+every AS (FROM told UNION ALL SELECT * FROM s_random r WHERE NOT EXISTS (SELECT 1 FROM told p WHERE p.rn = r.rn AND p.st < r.en AND r.st < p.en)),
 parts AS (SELECT p.*, (SELECT count(*) FROM breaks b WHERE b.rn = p.rn AND b.en <= p.st) AS scope,
-  CASE WHEN kind IN ('weak_id', 'access') THEN 'who' WHEN kind IN ('weak_value', 'assign', 'hex') THEN 'secret' ELSE 'where' END AS role FROM (FROM base UNION ALL FROM weak) p),
+  CASE WHEN kind IN ({listed(WHO)}) THEN 'who' WHEN kind IN ({listed(SECRET)}) THEN 'secret' ELSE 'where' END AS role FROM every p),
 met AS (SELECT w.rn, w.st, w.rank, w.kind, w.en, w.role, max((n.role = 'who')::INT) AS who, max((n.role = 'secret')::INT) AS secret
   FROM parts w JOIN parts n ON n.rn = w.rn AND n.scope = w.scope AND n.role <> 'where' AND n.role <> w.role AND n.st - {reach} < w.en AND w.st < n.en + {reach}
-  WHERE w.kind IN ({', '.join(map(_quoted, WEAK))}) GROUP BY ALL),
+  WHERE w.kind NOT IN ({listed(BASE)}) GROUP BY ALL),
 linked AS (SELECT rn, st, rank, kind, en FROM met WHERE CASE role WHEN 'who' THEN secret = 1 WHEN 'secret' THEN who = 1 ELSE who = 1 AND secret = 1 END),
 b AS (SELECT rn, count_if(kind = 'assign')::BIGINT AS n_assign, count_if(kind = 'access')::BIGINT AS n_access, count_if(kind = 'hex')::BIGINT AS n_hex,
   string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, rank) AS listed FROM base GROUP BY rn),

@@ -10,12 +10,13 @@ from quillspark.llm.queries import queries
 from .conftest import frame
 from .test_licenses import TEXTS as LICENSES
 from .test_secrets import TEXTS as SECRETS
+from .test_secrets import mixed
 
 
 @pytest.fixture(scope="module")
 def folder(spark, pairs, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
-    rows = [*pairs, *((2000 + i, t) for i, t in enumerate([*SECRETS, *LICENSES]))]
+    rows = [*pairs, *((2000 + i, t) for i, t in enumerate([*SECRETS, *LICENSES, *mixed(23, 150)]))]
     frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").repartition(2, F.col("doc_id")).write.parquet(f"{at}/documents.parquet")
     return at
 

@@ -121,13 +121,18 @@ def test_megabytes_of_matches(spark):
     assert shown.count("[secret]") == 132_000 and took < 60, took
 
 
+def mixed(seed: int, n: int) -> list[str]:
+    """Texts of parts that touch, overlap and hold each other."""
+    rnd = random.Random(seed)
+    bits = ["user=al_ice", "DB_USER=bob", "api_key=abcdef", "token: Ab3xyzAb3xyzAb3xyzAb3x", "x_key=Ab3xyzAb3xyzAb3xyzAb3xyz9", "Zz9aaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef0123", "http://a.b/c?user=dan&pwd=Abc123Abc123Abc123Abc1", "\n\n", "my_pass=hunter22", "AKIA1234567890ABCD", "word", "aws_secret_access_key=abcdefgh1", "aws_access_key_id=AKIA1234567890ABCD", "the_access_key: abcdefg", "db_secret_accesskey=xyzxyz1"]
+    return [rnd.choice([" ", "", "_", " "]).join(rnd.choice(bits) for _ in range(rnd.randint(1, 12))) for _ in range(n)]
+
+
 def test_random_runs_against_a_plain_version(spark):
     """Overlaps of the extra parts, by comparing every pair."""
     from quillspark.llm.secrets import MORE, WEAK
 
-    rnd = random.Random(11)
-    bits = ["user=al_ice", "DB_USER=bob", "api_key=abcdef", "token: Ab3xyzAb3xyzAb3xyzAb3x", "x_key=Ab3xyzAb3xyzAb3xyzAb3xyz9", "Zz9aaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef0123", "http://a.b/c?user=dan&pwd=Abc123Abc123Abc123Abc1", "\n\n", "my_pass=hunter22", "AKIA1234567890ABCD", "word"]
-    texts = [rnd.choice([" ", "", "_", " "]).join(rnd.choice(bits) for _ in range(rnd.randint(1, 12))) for _ in range(150)]
+    texts = mixed(11, 150)
 
     def plain(text: str) -> str:
         strong = base(text)
