@@ -28,21 +28,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and a
-    nondeterministic id column becomes fixed. Files are named at random and left to the
-    cluster's clean-up of the checkpoint folder, as a lazily evaluated result still reads them.
+    nondeterministic id column becomes fixed. Folders are named at random. ``discard`` removes one whose readers
+    have all been written themselves; those that a lazily evaluated result still reads are left to the
+    cluster's clean-up of the checkpoint folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, by: str, how: str = "inner", least: int = 256) -> DataFrame:

@@ -42,8 +42,8 @@ def test_lookup_splits_hot_keys(spark):
 def test_discard(spark):
     table = written(spark.range(10), "gone")
     assert table.count() == 10
-    files = table.inputFiles()
-    discard(table)
+    files, other = table.inputFiles(), written(spark.range(0), "empty")
+    discard(table, other)
     from pathlib import Path
 
     assert files and not any(Path(f.removeprefix("file://")).exists() for f in files)
