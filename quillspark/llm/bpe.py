@@ -8,7 +8,7 @@ out dead is never tried again. A sequence whose tokens are all reachable by merg
 adjacent pairs are all compatible is the merge result itself, so ids equal those of the merges.
 
 Defined cases: null text is the empty text (no ids); repeated rows are encoded each on their
-own; an empty table gives no row; other columns are not looked at.
+own; a very long text takes time and memory in proportion, a very long pre-token too; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import discard, lookup, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,8 +39,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Stars: each node has one edge, and no centre is itself linked on.
         flags = after.groupBy("a").agg(F.count("*").alias("n"))
         if flags.where("n > 1").isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            discard(edges)
             edges = after
             break
+        discard(edges)
         edges = after
     else:
         raise RuntimeError("components did not settle")

@@ -14,7 +14,7 @@ weight exp(-documents / ``least_docs``), so nothing switches at a count.
 Defined cases: null text has no word and fails the base rules; subtags of a language code are
 dropped (``pt-BR`` is ``pt``); a document with a null, odd or ``und`` code counts by the script of most
 of its letters (``und-latin``, or ``und`` without a letter); a language without a document that passes
-the base rules has no band; repeated rows count each; an empty table gives no row.
+the base rules has no band; repeated rows count each; a very long text takes memory in proportion to its words and tokens; an empty table gives no row.
 """
 
 from __future__ import annotations

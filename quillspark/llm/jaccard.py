@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, lookup, map_arrow, pick, portions, text_key, whole_text, written
+from .common import as_bytes, column, discard, lookup, map_arrow, pick, portions, text_key, whole_text, written
 from .components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -428,8 +428,10 @@ def join(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 32, ban
         .withColumn("root", F.coalesce("root", "tid"))
     )
     named = written(named.select("t1", "t2", "root", "least_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    discard(texts, shared, near, sizes, found)
     ids = written(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("m")), "ids")
     labelled = written(lookup(named, ids, ["root"], "m", "t1").select("t1", "t2", "root", "class_id", "n_links", "n_copies"), "labelled")
+    discard(named, ids)
     return lookup(signed.select("id", "t1", "t2"), labelled, ["t1", "t2"], "n_copies", "id").select("id", "class_id", "n_links", "n_copies", "t1", "t2", "root")
 
 

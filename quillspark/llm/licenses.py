@@ -6,7 +6,7 @@ A template compiles to a nondeterministic automaton over words; a text is accept
 mandatory wording stands exactly, word for word. Base phrases are found beside it.
 
 Defined cases: null text is the empty text (no word, score 0); repeated rows are scanned each
-on their own; an empty table gives no row; other columns are not looked at.
+on their own; a very long text takes memory in proportion to its words; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ nothing is shuffled and memory holds the open windows of one partition only; wha
 open at the end is merged by cutting, so a partition pads one window at most.
 
 Defined cases: null text is the empty text and gives the separator alone; repeated rows are
-packed each on their own; an empty table gives no piece; other columns are not looked at.
+packed each on their own; a very long text is cut into windows as it is, its ids in memory at once; an empty table gives no piece; other columns are not looked at.
 """
 
 from __future__ import annotations

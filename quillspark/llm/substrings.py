@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import as_bytes, column, lean, lookup, map_arrow, pick, portions, row_key, whole_text, written
+from .common import as_bytes, column, discard, lean, lookup, map_arrow, pick, portions, row_key, whole_text, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
 
@@ -453,6 +453,7 @@ def strip_repeats(df: DataFrame, window: int = 35, gram: int = 16, group_limit:
         return candidate_suffixes(rows.join(some.where(F.size("places") > 0), ["k1", "k2"]), window, gram).drop("n")
 
     large = None if repeated.where(F.col("n") > group_limit).isEmpty() else around("large")
+    discard(sampled, repeated)
     found = solved(around("small"), large, window, gram, group_limit, steps).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "bits")).alias("bits"))
     joined = rows.join(found, ["k1", "k2"], "left")
     return _strip(joined, [f for f in rows.schema.fields if f.name.startswith("carry")], window, gram)
