@@ -21,8 +21,17 @@ def grid_score(grid: Column) -> Column:
     return (F.size(grid) * width * 2 + filled + method + 3 * numeric - 5 * broken).cast("long")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def filled_columns(grid: Column) -> Column:
     """The grid without columns that are empty in every row."""
+    return bound(grid, _filled_columns)
+
+
+def _filled_columns(grid: Column) -> Column:
     width = F.coalesce(F.array_max(F.transform(grid, lambda r: F.size(r))), F.lit(0))
     places = F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>"))
     used = F.filter(places, lambda i: F.exists(grid, lambda r: F.trim(F.coalesce(F.get(r, i - 1), F.lit(""))) != ""))
@@ -31,6 +40,10 @@ def filled_columns(grid: Column) -> Column:
 
 def one_header(grid: Column) -> Column:
     """Two header rows as one: where the first two rows have a digit in one cell at most, cells that differ are joined by ``/``."""
+    return bound(grid, _one_header)
+
+
+def _one_header(grid: Column) -> Column:
     digits = lambda r: F.size(F.filter(r, lambda c: F.coalesce(c, F.lit("")).rlike("[0-9]")))
     first, second = F.get(grid, F.lit(0)), F.get(grid, F.lit(1))
     plain = lambda c: F.trim(F.coalesce(c, F.lit("")))
@@ -92,15 +105,21 @@ def grid_html(grid: Column, caption: Column | None = None) -> Column:
         cells = F.transform(r, lambda c: F.concat(F.lit(f"<{tag}>"), F.replace(c, F.lit("\n"), F.lit(" ")), F.lit(f"</{tag}>")))
         return F.concat(F.lit("<tr>"), F.array_join(cells, ""), F.lit("</tr>"))
 
-    clean = filled_columns(grid)
-    head = F.coalesce(F.try_element_at(clean, F.lit(1)), F.array().cast("array<string>"))
-    body = F.array_join(F.transform(F.slice(clean, 2, 1 << 30), lambda r: row(r, "td")), "")
     named = F.lit("") if caption is None else F.coalesce(F.concat(F.lit("<caption>"), caption, F.lit("</caption>")), F.lit(""))
-    return F.concat(F.lit("<table>"), named, row(head, "th"), body, F.lit("</table>"))
+
+    def made(clean: Column) -> Column:
+        head = F.coalesce(F.try_element_at(clean, F.lit(1)), F.array().cast("array<string>"))
+        body = F.array_join(F.transform(F.slice(clean, 2, 1 << 30), lambda r: row(r, "td")), "")
+        return F.concat(F.lit("<table>"), named, row(head, "th"), body, F.lit("</table>"))
+
+    return bound(filled_columns(grid), made)
 
 
 def grid_markdown(grid: Column) -> Column:
-    clean = filled_columns(grid)
+    return bound(filled_columns(grid), _markdown)
+
+
+def _markdown(clean: Column) -> Column:
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
     rule = F.transform(F.slice(clean, 1, 1), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.lit("---")), " | "), F.lit(" |")))
     return F.array_join(F.concat(F.transform(F.slice(clean, 1, 1), line), rule, F.transform(F.slice(clean, 2, 1 << 30), line)), "\n")

@@ -183,3 +183,17 @@ def test_parsing(spark, tmp_path):
     assert counts == {"a.pdf": 2, "b.pdf": 1, "c.pdf": 0, "d.pdf": 0}
     elements = spark.createDataFrame([("s", 1, 2, "text", "two"), ("s", 1, 1, "text", "one"), ("s", 1, 3, "header", "no"), ("s", 2, 1, "text", "<table> no"), ("s", 2, 2, "table", "<table>")], "source string, page int, nth int, kind string, text string")
     assert parsing.element_text(elements).first()["full_text"] == "one\n\ntwo\n\n<table>"
+
+
+def test_figures(spark, tmp_path):
+    from quillspark.sources import parsing
+
+    picture = b"\xff\xd8\xff" + b"x" * 30_000
+    one = b"1 0 obj << /Type /XObject /Subtype /Image /Width 20 /Height 10 /Filter /DCTDecode /P << /A 1 >> >>\nstream\n" + picture + b"\nendstream"
+    small = one.replace(b"x" * 30_000, b"y")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\n" + small + one + one.replace(b"DCTDecode", b"FlateDecode"))
+    (tmp_path / "b.pdf").write_bytes(b"junk")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = parsing.figures(files).select("*", parsing.as_data_address(F.col("image")).alias("address")).collect()
+    assert [(r["paper_source"], r["figure_id"], r["width"], r["height"], bytes(r["image"])) for r in got] == [("a.pdf", "Figure_1", 20, 10, picture)]
+    assert got[0]["address"].startswith("data:image/jpeg;base64,/9j/")
