@@ -27,6 +27,15 @@ STOP_WORDS = ["the", "a", "an", "in", "on", "of", "for", "to", "and", "or", "is"
 SECTION_NAMES = ["abstract", "introduction", "related work", "background", "method", "experiment", "result", "discussion", "conclusion"]
 #: Titles whose sections are lists.
 LIST_WORDS = ["dataset", "experiment", "benchmark", "data", "evaluation", "implementation", "paramet", "ablation", "result"]
+#: How a question names a paper (by archive id, by a name before "paper", quoted after the Chinese word), a section
+#: (Chinese, English, a number at the start) and a table.
+ARCHIVE_ID = r"\b([0-9]{4}\.[0-9]{4,5}v?[0-9]*)\b"
+NAMED_PAPER = "(?:the\\s+)?([A-Z][A-Za-z0-9-]+)\\s+(?:paper|论文|model)"
+QUOTED_PAPER = "(?:论文|论[文著])\\s*[\"']?([^\"']{2,30}?)[\"']?\\s*(?:的|中|里|第)"
+CHINESE_SECTION = "(?:第\\s*)?([0-9]+(?:\\.[0-9]+)*)\\s*[节章]"
+ENGLISH_SECTION = r"(?:Section|section|CHAPTER|Chapter)\s+([0-9]+(?:\.[0-9]+)*)"
+LEADING_SECTION = r"^([0-9]+(?:\.[0-9]+)*)\s"
+TABLE_NUMBER = "(?:(?:[Tt]able|[Tt]ab)\\b|表)\\s*[-_.]?\\s*([0-9]+)"
 #: Fixed values of the router.
 EXACT, PARTIAL, SEVERAL, LEAST, MARGIN = 2.0, 1.2, 1.15, 2.8, 1.2
 
@@ -54,18 +63,14 @@ def section_boost(question: Column, intent_col: Column, title: Column) -> Column
 def references(question: Column) -> dict[str, Column]:
     """``paper_ref``, ``section_ref``, ``table_ref``: what the question points at, else null."""
     none = lambda c: F.nullif(c, F.lit(""))
-    archive = none(F.regexp_extract(question, r"\b([0-9]{4}\.[0-9]{4,5}v?[0-9]*)\b", 1))
-    named = none(F.regexp_extract(question, "(?:the\\s+)?([A-Z][A-Za-z0-9-]+)\\s+(?:paper|论文|model)", 1))
-    named = F.when(F.char_length(named) >= 3, named)
-    quoted = none(F.trim(F.regexp_extract(question, "(?:论文|论[文著])\\s*[\"']?([^\"']{2,30}?)[\"']?\\s*(?:的|中|里|第)", 1)))
-    quoted = F.when(F.char_length(quoted) >= 2, quoted)
-    cjk_number = none(F.regexp_extract(question, "(?:第\\s*)?([0-9]+(?:\\.[0-9]+)*)\\s*[节章]", 1))
-    number = none(F.regexp_extract(question, r"(?:Section|section|CHAPTER|Chapter)\s+([0-9]+(?:\.[0-9]+)*)", 1))
-    leading = none(F.regexp_extract(question, r"^([0-9]+(?:\.[0-9]+)*)\s", 1))
+    first = lambda pattern: none(F.trim(F.regexp_extract(question, pattern, 1)))
+    archive, named, quoted = first(ARCHIVE_ID), first(NAMED_PAPER), first(QUOTED_PAPER)
+    named, quoted = F.when(F.char_length(named) >= 3, named), F.when(F.char_length(quoted) >= 2, quoted)
+    cjk_number, number, leading = first(CHINESE_SECTION), first(ENGLISH_SECTION), first(LEADING_SECTION)
     word = F.lit(None).cast("string")
     for name in reversed(SECTION_NAMES):
         word = F.when(F.contains(F.lower(question), F.lit(name)), F.initcap(F.lit(name))).otherwise(word)
-    table = none(F.regexp_extract(question, "(?:(?:[Tt]able|[Tt]ab)\\b|表)\\s*[-_.]?\\s*([0-9]+)", 1))
+    table = first(TABLE_NUMBER)
     return {
         "paper_ref": F.coalesce(archive, quoted, named),
         "section_ref": F.coalesce(cjk_number, number, leading, word),
