@@ -14,7 +14,7 @@ Jaccard similarity of at least ``threshold``:
 3. Verification. Components of that forest hold all surviving pairs. Within a component the
    shingle sets are multiplied block by block, which gives the exact intersection of every pair; links are counted per
    text, and again only a spanning forest of exact links leaves the block. Large
-   components are split into blocks of ``block`` texts and 500 times as many shingles; every
+   components are split into blocks of ``block`` texts and 1000 times as many shingles; every
    pair of blocks is dealt out on its own.
 4. Classes are the components of the exact links.
 
@@ -383,7 +383,7 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long, n long")
 
 
-def join(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 32, band_rows: int = 4, step: int = 32, tolerance: float = 1e-6, block: int = 4000, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 32, band_rows: int = 4, step: int = 32, tolerance: float = 1e-6, block: int = 2000, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, class_id, n_links, n_copies, t1, t2, root`` of every row.
 
     ``n_links`` counts the other *different* texts that the text is linked to, ``n_copies`` the
@@ -409,7 +409,7 @@ def join(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 32, ban
         forest_edges = forest_edges.unionByName(crowded_edges(written(members(many), "members"), limits, crowd))
     near = written(components(forest_edges), "near")
     placed = near.join(texts.select("t1", "t2", "tid", "n"), near["node"] == F.col("tid"))
-    sizes = written(placed.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (500 * block))).alias("n_blocks")), "sizes")
+    sizes = written(placed.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (1000 * block))).alias("n_blocks")), "sizes")
     wanted = lookup(placed, sizes, ["root"], "m", "tid").select("t1", "t2", "tid", "root", "n_blocks")
     # One text of each group of copies is enough; copies fall together before the shuffle.
     once = rows.groupBy("t1", "t2").agg(F.first("text").alias("text"))
