@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, discard, map_arrow, pick, portions, whole_text, written
+from .common import as_bytes, column, discard, lean, map_arrow, pick, portions, whole_text, written
 
 TEXT_BITS, META_BITS = 14, 8
 TEXT_SIZE, FIGURES = 1 << TEXT_BITS, 12
@@ -257,7 +257,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
         def step(batch: pa.RecordBatch):
             texts, rest = as_bytes(batch, "text"), [column(batch, c).to_pylist() for c in ("lang", "source", "chars")]
-            for lo, hi in portions(texts, 1024):
+            for lo, hi in portions(texts, 512, 1 << 20):
                 found = extract(*(x[lo:hi] for x in rest), texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, hi - lo), *(pa.array(c, pa.binary()) for c in found)], names=["id", "ti", "tc", "meta"])
 
@@ -266,6 +266,13 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return map_arrow(rows, f"id {rows.schema['id'].dataType.simpleString()}, ti binary, tc binary, meta binary", start)
 
 
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[Batch]:
+    """Features a few documents at a time: the working arrays are many times as large as the features."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield Batch.of_columns(*(column(batch.slice(lo, rows), c).to_pylist() for c in ("ti", "tc", "meta")))
+
+
 def pseudo_sums(free: DataFrame, model: CoTrained, sure: float) -> dict[str, dict[int, tuple[int, np.ndarray, np.ndarray]]]:
     """For each view and kind what the *other* view is sure of: the number of documents and their ``Batch.sums``.
 
@@ -276,12 +283,10 @@ def pseudo_sums(free: DataFrame, model: CoTrained, sure: float) -> dict[str, dic
     edge = math.log(sure / (1 - sure))
 
     def run(batches):
+        lean()
         fitted = shared.value
         kept: dict[tuple[str, int], list] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = Batch.of_columns(*(column(batch, c).to_pylist() for c in ("ti", "tc", "meta")))
+        for part in _slices(batches):
             logit = fitted.logits(part)
             for view, other in (("text", "meta"), ("meta", "text")):
                 for kind in (0, 1):
@@ -353,7 +358,8 @@ def scores(feats: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFr
         fitted = shared.value
 
         def step(batch: pa.RecordBatch):
-            found = fitted.scores(Batch.of_columns(*(column(batch, c).to_pylist() for c in ("ti", "tc", "meta"))))
+            parts = [fitted.scores(part) for part in _slices([batch])]
+            found = [np.concatenate(x) for x in zip(*parts)]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), *map(pa.array, found), pa.array(found[2] >= threshold)], names=names)
 
         return step
@@ -375,11 +381,12 @@ def keep_good(df: DataFrame, model: CoTrained, threshold: float = 0.5, text_col:
     shared, names, text = df.sparkSession.sparkContext.broadcast(model), list(extra), at["text"]
 
     def run(batches):
+        lean()
         extract, fitted = Extractor(), shared.value
         for batch in batches:
             texts, rest = as_bytes(batch, text), [column(batch, c).to_pylist() for c in names]
             good: list[bool] = []
-            for lo, hi in portions(texts, 1024):
+            for lo, hi in portions(texts, 512, 1 << 20):
                 found = extract(*(x[lo:hi] for x in rest), texts[lo:hi])
                 good += (fitted.scores(Batch.of_columns(*found))[2] >= threshold).tolist()
             yield batch.select(range(width)).filter(pa.array(good, pa.bool_()))
