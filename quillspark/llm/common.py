@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,8 +52,12 @@ def text_key(text_col: Column) -> tuple[Column, Column]:
 
 
 def lean() -> None:
-    """Arrow memory of a worker goes back to the system when it is freed; a pool of its own would keep what the largest batch took."""
+    """What a worker has freed goes back to the system; Arrow's own pool, and the C library, would keep what the largest batch took."""
     pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def map_arrow(df: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
@@ -64,6 +69,7 @@ def map_arrow(df: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatc
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
+        lean()
 
     return df.mapInArrow(run, schema)
 
